@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import chat, decontam, html_extract, minhash, packing, pii
-from netquarry.llm._io import table
+from netquarry.llm import chat, decontam, html_extract, minhash, packing, pii, quality, toxicity
+from netquarry.llm._io import remainder, table
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.learn(docs, labels, fold_of=5, held=0))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.learn(docs, labels, fold_of=4, held=2))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
@@ -36,6 +48,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op7_html, op8_chat, op9_decontam, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op3_toxicity, op6_quality, op7_html, op8_chat, op9_decontam, op10_pii)}
 
 from netquarry.llm.oracles import ORACLES  # noqa: E402, F401
