@@ -42,4 +42,14 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN a USING (doc_id)
 """
 
-ORACLES = {"op2_minhash": _BAG, "op8_chat": _CHAT, "op9_decontam": _LEAK}
+_LINKS = r"""
+WITH RECURSIVE
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM g x JOIN g y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+c AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+k AS (SELECT a AS vec_id, min(b) AS component_id FROM c GROUP BY a)
+SELECT k.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = k.vec_id) AS BIGINT) AS n_links, component_id, k.vec_id = component_id AS kept FROM k
+"""
+
+ORACLES = {"op4_embeddings": _LINKS, "op2_minhash": _BAG, "op8_chat": _CHAT, "op9_decontam": _LEAK}
