@@ -18,7 +18,6 @@ split by a hash: at most ``HOT`` of a tree's leaves hold more than 1/HOT of all
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from netquarry.llm._graph import components
 from netquarry.llm._io import cut, discard
+from netquarry.llm._stream import grouped
 
 THRESHOLD, TREES, BLOCK, K, ROUNDS = 0.9, 12, 256, 8, 3
 HOT, WHOLE, TILE = 1000, 2048, 1024
@@ -54,45 +54,6 @@ def _stack(column: pa.Array, kind=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1).astype(kind)
 
 
-def _grouped(keys: int, body: Callable, largest: int):
-    """Streams rows that are sorted by their first ``keys`` columns; ``body`` gets the rows of a group, ``largest`` at most."""
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def flush():
-            out = body(pa.Table.from_batches(held).combine_chunks())
-            held.clear()
-            yield from ([out] if out is not None and out.num_rows else [])
-
-        key, size = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.ones(batch.num_rows, dtype=bool)
-            for c in range(keys):
-                v = batch.column(c).to_numpy(zero_copy_only=False)
-                new[1:] = (new[1:] if c else False) | (v[1:] != v[:-1])
-            starts = np.flatnonzero(new)
-            for a, b in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
-                own = tuple(batch.column(c)[int(a)].as_py() for c in range(keys))
-                if held and own != key:
-                    yield from flush()
-                    size = 0
-                key = own
-                while a < b:
-                    n = int(min(b - a, largest - size))
-                    held.append(batch.slice(int(a), n))
-                    a, size = a + n, size + n
-                    if size >= largest:
-                        yield from flush()
-                        size = 0
-        if held:
-            yield from flush()
-
-    return run
-
-
 def _best(node: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch | None:
     """Each row's k most similar other rows of a block."""
     n = len(node)
@@ -147,7 +108,7 @@ def neighbours(vectors: DataFrame, k: int = K, trees: int = TREES, rounds: int =
         return _best(t.column("node").to_numpy(), _stack(t.column("unit").combine_chunks(), np.float32), k)
 
     edge = "node long, other long, sim float"
-    lists = cut(_lists(dealt.mapInArrow(_grouped(3, leaf, BLOCK), edge), k))
+    lists = cut(_lists(dealt.mapInArrow(grouped(3, leaf, BLOCK), edge), k))
     own = vectors.select(F.col("node").alias("member"), "unit")
     for _ in range(rounds):
         links = lists.select("node", F.explode("near").alias("x")).select("node", F.col("x.other").alias("other"), F.col("x.sim").alias("sim"))
@@ -162,7 +123,7 @@ def neighbours(vectors: DataFrame, k: int = K, trees: int = TREES, rounds: int =
         def meet(t: pa.Table):
             return _best(t.column("member").to_numpy(), _stack(t.column("unit").combine_chunks(), np.float32), k)
 
-        fresh = cut(_lists(links.union(met.mapInArrow(_grouped(2, meet, BLOCK), edge)), k))
+        fresh = cut(_lists(links.union(met.mapInArrow(grouped(2, meet, BLOCK), edge)), k))
         old = lists.select("node", F.transform("near", lambda x: x.other).alias("was"))
         changed = fresh.join(old, "node", "left").agg(F.sum(F.size(F.array_except(F.transform("near", lambda x: x.other), F.coalesce("was", F.array().cast("array<long>"))))), F.sum(F.size("near"))).first()
         discard(lists)
@@ -240,7 +201,7 @@ def _large_links(members: DataFrame, sizes: DataFrame, threshold: float) -> Data
     every = marked.join(tiles, "component").join(runs, "component")
     every = every.select("component", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.expr("int(pmod(xxhash64(node, 1), runs))").alias("run"), F.lit(False).alias("outer"), "node", "unit", "copies", "core")
     met = outer.union(every).repartition("component", "tile", "run").sortWithinPartitions("component", "tile", "run")
-    return inner.union(met.mapInArrow(_grouped(3, _crossed(threshold), 1 << 30), "node long, links long"))
+    return inner.union(met.mapInArrow(grouped(3, _crossed(threshold), 1 << 30), "node long, links long"))
 
 
 def link(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
@@ -263,7 +224,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, trees: in
     members = cut(distinct.join(parts, "node").select("component", "node", "unit", "copies"))
     sizes = cut(members.groupBy("component").agg(F.count("*").alias("n")))
     small = members.join(sizes.where(F.col("n") <= WHOLE), "component").select("component", "node", "unit", "copies")
-    counts = small.repartition("component").sortWithinPartitions("component").mapInArrow(_grouped(1, _counted(threshold), WHOLE), "node long, links long")
+    counts = small.repartition("component").sortWithinPartitions("component").mapInArrow(grouped(1, _counted(threshold), WHOLE), "node long, links long")
     if not sizes.where(F.col("n") > WHOLE).isEmpty():
         counts = counts.union(_large_links(members, sizes, threshold))
     counts = counts.groupBy("node").agg(F.sum("links").alias("links"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import chat, decontam, embed_dedup, html_extract, minhash, packing, pii, quality, toxicity
+from netquarry.llm import chat, decontam, embed_dedup, html_extract, lm_score, minhash, packing, pii, quality, toxicity
 from netquarry.llm._io import remainder, table
 
 
@@ -27,6 +27,11 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.link(table(spark, sf_dir, "embeddings"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents"), fold_of=5, held=1)
+    return scored.withColumn("held_out", remainder(F.col("doc_id"), 5) == 1)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.score(docs, quality.learn(docs, labels, fold_of=4, held=2))
@@ -52,6 +57,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op3_toxicity, op4_embeddings, op6_quality, op7_html, op8_chat, op9_decontam, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op3_toxicity, op4_embeddings, op5_lm, op6_quality, op7_html, op8_chat, op9_decontam, op10_pii)}
 
 from netquarry.llm.oracles import ORACLES  # noqa: E402, F401
