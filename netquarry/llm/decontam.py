@@ -122,10 +122,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_window
 
         return source.mapInArrow(run, schema)
 
-    parts = [one(b) for b in blocks]
-    if len(parts) == 1:
-        return parts[0].withColumn("n_hit", F.size("hits").cast("long"))
-    # A benchmark beyond the bound: hits of each bounded pass meet by row.
+    if len(blocks) == 1:
+        return one(blocks[0]).withColumn("n_hit", F.size("hits").cast("long"))
+    # A benchmark beyond the bound: hits of each bounded pass meet by row. Each pass is a job of its own, as row keys hold
+    # the number of the task.
+    parts = [cut(one(b)) for b in blocks]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p.where(F.size("hits") > 0))
