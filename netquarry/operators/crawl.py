@@ -170,3 +170,17 @@ def cheap_choice(scores: DataFrame, cheap_degrees: DataFrame, most: int = 50) ->
     own = own.crossJoin(F.broadcast(lim))
     scaled = F.expr("coalesce(try_divide(deg - lo, hi - lo), double(deg))")
     return own.select("id", (scaled * (1 - F.col("cc")) + F.coalesce(F.expr("try_divide(cheap, top)"), F.lit(0.0))).alias("score")).orderBy(F.desc(F.round("score", 9)), "id").limit(most)
+
+
+def core_and_periphery(edges: DataFrame, trace: DataFrame) -> DataFrame:
+    """(run, id, kind): nodes a bounded crawl has queried, and those it has only seen."""
+    core = trace.select("run", "id").distinct()
+    seen = core.join(adjacency(edges), "id").select("run", F.col("nbr").alias("id")).distinct().join(core, ["run", "id"], "left_anti")
+    return core.withColumn("kind", F.lit("core")).union(seen.withColumn("kind", F.lit("periphery")))
+
+
+def cheap_overlap(expensive: DataFrame, cheap: DataFrame, seen: DataFrame) -> DataFrame:
+    """(id, overlap): of each seen node, how many seen nodes are its neighbours in the cheap layer."""
+    own = seen.select("id").distinct()
+    near = adjacency(cheap).join(own, "id", "left_semi").join(own.select(F.col("id").alias("nbr")), "nbr", "left_semi").groupBy("id").agg(F.count("*").alias("overlap"))
+    return own.join(near, "id", "left").select("id", F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"))

@@ -307,3 +307,50 @@ def multi_layer_community(s, d):
 for _f in (border_knn, border_logreg, sub_communities, multi_layer_community):
     add(_f)
 
+
+
+def bounded_bfs(s, d):
+    """G43 over the first five queries of a queue crawl."""
+    e = graph(s, d)
+    return crawl.core_and_periphery(e, crawl.crawl(e, one_run(s), "bfs", STEPS))
+
+
+_bhead, _, _ = crawl_sql("bfs").rpartition("\nSELECT 'r' AS run")
+add(bounded_bfs, _bhead + f"\nSELECT 'r' AS run, id, 'core' AS kind FROM c{STEPS} UNION ALL SELECT DISTINCT 'r', nbr, 'periphery' FROM adj WHERE id IN (SELECT id FROM c{STEPS}) AND nbr NOT IN (SELECT id FROM c{STEPS})")
+
+
+def cheap_overlap(s, d):
+    e = graph(s, d)
+    return crawl.cheap_overlap(e, graphs.layers(s, d).where("layer = 1").select("src", "dst"), closed_of(e).union(_open(e).select("id")))
+
+
+_SEEN = f"(SELECT id FROM shut UNION SELECT id FROM ({_OPEN}))"
+add(cheap_overlap, over(GRAPH, then=f"SELECT s.id, count(c.nbr) AS overlap FROM {_SEEN} s LEFT JOIN (SELECT * FROM {_CHEAP} WHERE nbr IN {_SEEN}) c ON c.id = s.id GROUP BY s.id"))
+
+
+def degree_estimate_trace(s, d):
+    """H9: per query number, the true degree and the mark-recapture estimate from the answers so far."""
+    e = graph(s, d)
+    nodes = prep.vertices(e)
+    one = lambda q: access.neighbours_partial(e, nodes, 8, 7, q).groupBy("id").agg(F.collect_list("nbr").alias(f"a{q}"))
+    own = one(1).join(one(2), "id").join(one(3), "id").join(prep.degrees(e), "id")
+    second = access.recaptured_degree(F.col("a1"), F.col("a2"))
+    third = access.recaptured_degree(F.array_union("a1", "a2"), F.col("a3"))
+    rows = F.array(F.struct(F.lit(2).alias("query_count"), second.alias("estimate")), F.struct(F.lit(3).alias("query_count"), third.alias("estimate")))
+    return own.select("id", "deg", F.explode(rows).alias("r")).select("id", F.col("deg").alias("true_degree"), "r.query_count", "r.estimate")
+
+
+def _answer(q: int) -> str:
+    return f"(SELECT id, list(nbr) AS a FROM (SELECT id, nbr, row_number() OVER (PARTITION BY id ORDER BY {u_sql(7, q, chr(105) + 'd || ' + repr('-') + ' || nbr')}, nbr) AS k FROM adj) WHERE k <= 8 GROUP BY id)"
+
+
+_GUESS = "CAST(CASE WHEN len(list_intersect({m}, {r})) > 0 THEN floor(len({m}) * len({r}) / len(list_intersect({m}, {r}))) ELSE 0 END AS INTEGER)"
+add(degree_estimate_trace, over(GRAPH, then=f"WITH x AS (SELECT o.id, o.a AS a1, p.a AS a2, q.a AS a3, list_distinct(list_concat(o.a, p.a)) AS b FROM {_answer(1)} o JOIN {_answer(2)} p USING (id) JOIN {_answer(3)} q USING (id)) SELECT id, deg AS true_degree, 2 AS query_count, {_GUESS.format(m='a1', r='a2')} AS estimate FROM x JOIN deg USING (id) UNION ALL SELECT id, deg, 3, {_GUESS.format(m='b', r='a3')} FROM x JOIN deg USING (id)"))
+
+
+def distinct_datasets(s, d):
+    """The data sets (here: layers) with their number of edges, each once."""
+    return graphs.layers(s, d).groupBy("layer").agg(F.count("*").alias("edges"))
+
+
+add(distinct_datasets, over(GRAPH, then="SELECT CAST(layer AS INTEGER) AS layer, count(*) AS edges FROM pl GROUP BY layer"))
