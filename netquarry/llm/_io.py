@@ -29,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared folder and read it back, so that lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nq-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._nq_path = path
     return out
