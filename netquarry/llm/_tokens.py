@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,23 @@ from netquarry.llm import _text
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks held by a worker before its cache starts anew; bounds memory only.
-CACHED = 1_000_000
+CACHED = 1_500_000
 
 # The vocabulary's own pre-token rule for lower-case ASCII without white space.
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _TAIL = re.compile(r"[!-/:-@\[-`{-~]+$")
+# Pieces the tokenizer's normaliser only lower-cases: printable ASCII, and Latin letters that stand composed.
+_PLAIN = re.compile(r"[!-~]+|[a-zA-Z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0132-\u0148\u014A-\u017F]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -48,46 +61,68 @@ class Subwords:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, list[int]] = {}
         self._reset()
 
+    def finals(self) -> np.ndarray:
+        """Which ids end a pre-token."""
+        table = np.zeros(1 << 16, dtype=bool)
+        table[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>") or t.startswith("<|")]] = True
+        return table
+
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.pieces.clear()
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint16), 0
-        self.starts, self.lengths = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int32)
+        self.pieces: dict[str, tuple[int, int]] = {}
+        self._flat, self._starts, self._lengths = array("H"), array("q"), array("i")
+        self._view()
+
+    def _view(self) -> None:
+        self.flat, self.starts, self.lengths = (np.frombuffer(a.tobytes(), dtype=k) for a, k in ((self._flat, np.uint16), (self._starts, np.int64), (self._lengths, np.int32)))
 
     @staticmethod
     def _split(chunk: str) -> list[str]:
         if "<|" in chunk:
             return [chunk]
         if chunk.isascii():
-            return _ASCII_PIECES.findall(chunk.lower())
+            low = chunk.lower()
+            return [low] if low.isalpha() else _ASCII_PIECES.findall(low)
         if m := _TAIL.search(chunk):
             if chunk[: m.start()].isalpha():
                 return [chunk[: m.start()], m[0]]
         return [chunk]
 
+    def _encoded(self, pieces: list[str]) -> None:
+        """Place new pieces. Plain ones go to the tokenizer's model as they are, others through all its steps."""
+        tokenize, full = self.tokenizer.model.tokenize, []
+        for p in pieces:
+            if "<|" in p or not _PLAIN.fullmatch(p):
+                full.append(p)
+                continue
+            body = p if p.isascii() else p.lower().encode().decode("latin-1").translate(_BYTES)
+            ids = [t.id for t in tokenize(body)]
+            self.pieces[p] = (len(self._flat), len(ids))
+            self._flat.extend(ids)
+        for p, e in zip(full, self.tokenizer.encode_batch(full, add_special_tokens=False) if full else (), strict=True):
+            self.pieces[p] = (len(self._flat), len(e.ids))
+            self._flat.extend(e.ids)
+
     def _add(self, chunks: list[str]) -> None:
-        split = [self._split(c) for c in chunks]
-        new = list({p for s in split for p in s if p not in self.pieces})
-        if new:
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.pieces[p] = e.ids
-        pieces = self.pieces
-        ids = [[i for p in s for i in pieces[p]] for s in split]
-        sizes = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-        total, first = int(sizes.sum()), len(self.index)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(chunks) > len(self.starts):
-            self.starts, self.lengths = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), dtype=np.uint16, count=total)
-        self.starts[first : first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[first : first + len(chunks)] = sizes
-        self.used += total
-        for k, c in enumerate(chunks):
-            self.index[c] = first + k
+        split = list(map(self._split, chunks))
+        pieces, flat, starts, lengths = self.pieces, self._flat, self._starts, self._lengths
+        self._encoded(list({p for s in split for p in s if p not in pieces}))
+        n = len(self.index)
+        for k, (c, s) in enumerate(zip(chunks, split, strict=True), n):
+            self.index[c] = k
+            if len(s) == 1:
+                a, m = pieces[s[0]]
+            else:
+                a = len(flat)
+                for p in s:
+                    b, size = pieces[p]
+                    flat.extend(flat[b : b + size])
+                m = len(flat) - a
+            starts.append(a)
+            lengths.append(m)
+        self._view()
 
     def chunks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Cache places of the white-space chunks of each text, and the bounds of the rows among them."""
@@ -99,15 +134,17 @@ class Subwords:
         coded = parts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
         names = coded.dictionary.to_pylist()
-        get = self.index.get
-        place = [get(c) for c in names]
-        missing = [c for c, p in zip(names, place, strict=True) if p is None]
+        place = list(map(self.index.get, names))
+        missing = [k for k, p in enumerate(place) if p is None]
         if missing:
-            self._add(missing)
-            place = [get(c) for c in names]
+            n = len(self.index)
+            self._add([names[k] for k in missing])
+            for i, k in enumerate(missing):
+                place[k] = n + i
         codes = np.asarray(coded.indices)
         own = np.array(place, dtype=np.int64)[codes] if len(codes) else np.zeros(0, dtype=np.int64)
-        real = np.array([c != "" for c in names], dtype=bool)[codes] if len(codes) else np.zeros(0, dtype=bool)
+        blank = coded.dictionary.index("").as_py() if len(names) else -1
+        real = codes != blank
         if not real.all():
             kept = np.concatenate([[0], np.cumsum(real)])
             own, bounds = own[real], kept[bounds]

@@ -27,6 +27,8 @@ from netquarry.llm._tokens import Subwords, vocabulary_path
 LENGTH, END_ID = 4096, 2
 SENTENCE, INSIDE, STRIDE = 4, 24, 32
 BLOCK = 1 << 18
+#: Bytes of text encoded at once: common words are looked up once each.
+SLICE = 1 << 22
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, padding long"
 
 
@@ -145,7 +147,7 @@ def pack(docs: DataFrame, limit: int = LENGTH, end_id: int = END_ID, path: str |
             return out
 
         for batch in batches:
-            for low, high in _text.slices(batch.column(1)):
+            for low, high in _text.slices(batch.column(1), SLICE):
                 ids, bounds = subwords.encode(batch.column(1).slice(low, high - low))
                 n = high - low
                 ends = bounds[1:] + np.arange(1, n + 1)
