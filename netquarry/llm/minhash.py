@@ -262,21 +262,25 @@ def _asked(similar: float, taken: int):
     return body
 
 
-def _parted(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def _parted(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Bucket rows dealt by bucket and part."""
-    return rows.select(key, "salt", *columns).repartition(key, "salt").sortWithinPartitions(key, "salt", *columns[:1])
+    return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *columns[:1])
 
 
 def _crossing(rows: DataFrame, parts: DataFrame, similar: float, taken: int) -> DataFrame:
-    """(hub, doc, more): candidates between components that share a bucket."""
+    """(hub, doc, more): candidates between components that share a bucket. Every tile of asking texts meets every part."""
     own = rows.join(parts, rows.rep == parts.node, "left").select("key", "n", "rep", "total", "sig", "bands", F.coalesce("component", "rep").alias("part"))
     sizes = own.groupBy("key", "part").count()
-    main = sizes.groupBy("key").agg(F.max(F.struct("count", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.part").alias("main"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("count", "part")).alias("top"), F.count("*").alias("parts"), F.sum("count").alias("all")).where("parts > 1")
+    main = main.select("key", F.col("top.part").alias("main"), F.ceil((F.col("all") - F.col("top.count")) / F.lit(PART)).cast("int").alias("tiles"))
     split = cut(own.join(main, "key").withColumn("salts", F.ceil(F.col("n") / F.lit(PART)).cast("int")))
-    every = split.select("key", F.expr("int(pmod(xxhash64(rep, key), salts))").alias("salt"), "rep", "total", "sig", "bands", "part", F.lit(False).alias("asks"))
-    asking = split.where("part <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rep", "total", "sig", "bands", "part", F.lit(True).alias("asks"))
-    dealt = _parted(every.union(asking), "key", ["rep", "total", "sig", "bands", "part", "asks"])
-    met = dealt.mapInArrow(grouped(2, _asked(similar, taken), 8 * PART), "hub long, doc long, more boolean")
+    salt, tile = F.expr("int(pmod(xxhash64(rep, key), salts))"), F.expr("int(pmod(xxhash64(key, rep), tiles))")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = split.select("key", salt.alias("salt"), each("tiles").alias("tile"), "rep", "total", "sig", "bands", "part", F.lit(False).alias("asks"))
+    asking = split.where("part <> main").select("key", each("salts").alias("salt"), tile.alias("tile"), "rep", "total", "sig", "bands", "part", F.lit(True).alias("asks"))
+    dealt = _parted(every.union(asking), ["key", "salt", "tile"], ["rep", "total", "sig", "bands", "part", "asks"])
+    # The hashes keep a group near 2 * PART rows; it is never cut, as rows of two chunks would not meet.
+    met = dealt.mapInArrow(grouped(3, _asked(similar, taken), 1 << 40), "hub long, doc long, more boolean")
     return met.groupBy("hub", "doc").agg(F.max("more").alias("more"))
 
 
@@ -295,7 +299,7 @@ def _classed(docs: DataFrame, rest: Column, similar: float) -> tuple[DataFrame,
     texts = cut(signed.select("row_key", "total", "text", "bands").join(mates, "row_key").mapInArrow(_lengthened, "row_key long, total long, text string, bands array<long>, sig binary"))
     rows = cut(shared.join(texts.select(F.col("row_key").alias("rep"), "total", "sig", "bands"), "rep"))
     salted = rows.withColumn("salt", F.expr(f"int(pmod(xxhash64(rep, key), ceil(n / {PART})))"))
-    forest = _parted(salted, "key", ["rep", "total", "sig"]).mapInArrow(grouped(2, _forest(similar), 2 * PART), "hub long, doc long")
+    forest = _parted(salted, ["key", "salt"], ["rep", "total", "sig"]).mapInArrow(grouped(2, _forest(similar), 2 * PART), "hub long, doc long")
     tested = cut(forest.distinct())
     body = texts.select("row_key", "text")
     links = cut(_verify(body, tested, similar))

@@ -149,6 +149,18 @@ def test_near_dedup_equals_brute_force(spark):
     assert minhash.classes(docs(spark, [])).count() == 0
 
 
+def test_every_asking_text_meets_every_member_of_its_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 2)  # 40 texts: 20 parts, far beyond a chunk of 8 * PART rows
+    sig, bands = b"s" * minhash.LONG, list(range(minhash.BANDS))
+    rows = spark.createDataFrame([(bands[0], 40, r, 100, bytearray(sig), bands) for r in range(40)], "key long, n long, rep long, total long, sig binary, bands array<long>")
+    for linked in ([], [(r, 0) for r in range(25)]):
+        parts = spark.createDataFrame(linked, "node long, component long")
+        of = dict(linked)
+        found = minhash._crossing(rows, parts, 0.8, 1 << 40).collect()
+        assert {(r.hub, r.doc) for r in found} == {(a, b) for b in range(40) for a in range(b) if of.get(a, a) != of.get(b, b)}
+        assert not any(r.more for r in found)
+
+
 def test_signatures_estimate_weighted_jaccard():
     a, b = "a b c d e " * 40 + "f g h i j " * 10, "a b c d e " * 30 + "f g h i j " * 20
     w = _text.Words(pa.array([a, b]), _text.SPACED)
