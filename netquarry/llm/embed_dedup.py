@@ -6,8 +6,11 @@
    block start a neighbour graph.
 3. NN-descent: around each vector its neighbours and those it is a neighbour of meet (neighbours of neighbours), and every
    vector keeps the K best it has met; rounds end when few lists change. Edges at or above the threshold link.
-4. A list whose K entries all reach the threshold is saturated. Such lists are enlarged to completion inside their linked
-   component: members whose cosine to the component's centre is at least cos(acos(t) / 2) are linked pairwise for certain
+4. A list whose K entries all reach the threshold is saturated: links to farther vectors have no room in it. The saturated
+   vectors go through a forest and descent of their own, where only vectors of other components count as neighbours, until
+   a whole pass finds no link between components. (An edge missing at one end from a full list is missing at a saturated
+   end on both sides, so other vectors need no second pass.)
+5. Inside a linked component saturated lists are enlarged to completion: members whose cosine to the component's centre is at least cos(acos(t) / 2) are linked pairwise for certain
    (angles add up), all others meet every member in blocks. So counts are whole and no pair list is written.
 
 ``audit`` measures the recall of the links against brute force for a stated query set. Edge cases: repeated rows and ids
@@ -28,9 +31,9 @@ from netquarry.llm._graph import components
 from netquarry.llm._io import cut, discard
 from netquarry.llm._stream import grouped
 
-THRESHOLD, TREES, BLOCK, K, ROUNDS = 0.9, 12, 256, 8, 3
+THRESHOLD, TREES, BLOCK, K = 0.9, 12, 256, 8
 HOT, WHOLE, TILE = 1000, 2048, 1024
-#: Rounds end early when at most this share of the lists' entries changed.
+#: Rounds end when at most this share of the lists' entries changed.
 SETTLED = 0.01
 
 
@@ -54,21 +57,23 @@ def _stack(column: pa.Array, kind=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1).astype(kind)
 
 
-def _best(node: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch | None:
-    """Each row's k most similar other rows of a block."""
+def _best(t: pa.Table, name: str, k: int) -> pa.RecordBatch | None:
+    """Each row's k most similar other rows of a block that belong to another part."""
+    node, part, x = t.column(name).to_numpy(), t.column("part").to_numpy(), _stack(t.column("unit").combine_chunks(), np.float32)
     n = len(node)
     if n < 2:
         return None
     s = x @ x.T
-    np.fill_diagonal(s, -2)
+    s[part[:, None] == part[None, :]] = -2
     k = min(k, n - 1)
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
     sims = np.take_along_axis(s, top, axis=1)
-    return pa.record_batch([pa.array(np.repeat(node, k)), pa.array(node[top].reshape(-1)), pa.array(sims.reshape(-1).astype(np.float32))], names=["node", "other", "sim"])
+    i, j = np.nonzero(sims > -1.5)
+    return pa.record_batch([pa.array(node[i]), pa.array(node[top[i, j]]), pa.array(sims[i, j].astype(np.float32))], names=["node", "other", "sim"])
 
 
 def _planted(trees: int, bits: int, seed: int):
-    """(tree, code, place, node, unit): the leaf of each vector in each tree, and its place there by one more projection."""
+    """(tree, code, place, node, unit, part): the leaf of each vector in each tree, and its place there by one more projection."""
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
@@ -83,7 +88,7 @@ def _planted(trees: int, bits: int, seed: int):
                 y = (x @ planes[d]).reshape(len(at), trees, bits + 1)
                 code = ((y[:, :, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))) if bits else np.zeros((len(at), trees), dtype=np.int64)
                 for t in range(trees):
-                    yield pa.record_batch([pa.array(np.full(len(at), t, dtype=np.int32)), pa.array(code[:, t] * 65536 + int(d)), pa.array(y[:, t, bits]), batch.column(0).take(pa.array(at)), unit], names=["tree", "code", "place", "node", "unit"])
+                    yield pa.record_batch([pa.array(np.full(len(at), t, dtype=np.int32)), pa.array(code[:, t] * 65536 + int(d)), pa.array(y[:, t, bits]), batch.column(0).take(pa.array(at)), unit, batch.column(3).take(pa.array(at))], names=["tree", "code", "place", "node", "unit", "part"])
 
     return run
 
@@ -94,34 +99,38 @@ def _lists(edges: DataFrame, k: int) -> DataFrame:
     return each.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "other")), asc=False), 1, k).alias("near"))
 
 
-def neighbours(vectors: DataFrame, k: int = K, trees: int = TREES, rounds: int = ROUNDS, seed: int = 5) -> DataFrame:
-    """(node, near) of vectors(node, dim, unit) by NN-descent from a random-projection forest."""
+def neighbours(vectors: DataFrame, k: int = K, trees: int = TREES, seed: int = 5, known: DataFrame | None = None) -> DataFrame:
+    """(node, near) of vectors(node, dim, unit, part) by NN-descent from a random-projection forest; near are of other parts.
+
+    ``known(node, other)`` are pairs whose ends are near each other, of any part: what one of them has met, the other meets.
+    """
     n = vectors.count()
     bits = max(0, min(40, math.ceil(math.log2(max(n, 1) / (BLOCK / 2)))))
-    planted = vectors.select("node", "dim", "unit").mapInArrow(_planted(trees, bits, seed), "tree int, code long, place double, node long, unit binary")
-    leaves = vectors.select("node", "dim", "unit").mapInArrow(_planted(trees, bits, seed), "tree int, code long, place double, node long, unit binary").groupBy("tree", "code").agg(F.count("*").alias("n"))
+    planted = vectors.select("node", "dim", "unit", "part").mapInArrow(_planted(trees, bits, seed), "tree int, code long, place double, node long, unit binary, part long")
+    leaves = vectors.select("node", "dim", "unit", "part").mapInArrow(_planted(trees, bits, seed), "tree int, code long, place double, node long, unit binary, part long").groupBy("tree", "code").agg(F.count("*").alias("n"))
     hot = leaves.where(F.col("n") > max(BLOCK, n / HOT)).select("tree", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("salts"))
     dealt = planted.join(F.broadcast(hot), ["tree", "code"], "left").withColumn("salt", F.expr("int(pmod(xxhash64(node, tree), coalesce(salts, 1)))"))
-    dealt = dealt.select("tree", "code", "salt", "place", "node", "unit").repartition("tree", "code", "salt").sortWithinPartitions("tree", "code", "salt", "place", "node")
+    dealt = dealt.select("tree", "code", "salt", "place", "node", "unit", "part").repartition("tree", "code", "salt").sortWithinPartitions("tree", "code", "salt", "place", "node")
 
     def leaf(t: pa.Table):
-        return _best(t.column("node").to_numpy(), _stack(t.column("unit").combine_chunks(), np.float32), k)
+        return _best(t, "node", k)
 
     edge = "node long, other long, sim float"
     lists = cut(_lists(dealt.mapInArrow(grouped(3, leaf, BLOCK), edge), k))
-    own = vectors.select(F.col("node").alias("member"), "unit")
-    for _ in range(rounds):
+    own = vectors.select(F.col("node").alias("member"), "unit", "part")
+    while True:
         links = lists.select("node", F.explode("near").alias("x")).select("node", F.col("x.other").alias("other"), F.col("x.sim").alias("sim"))
         # Around each centre its neighbours, those it is a neighbour of, and itself.
-        around = links.select(F.col("node").alias("centre"), F.col("other").alias("member")).union(links.select(F.col("other").alias("centre"), F.col("node").alias("member")))
+        pairs = links.select("node", "other").union(known) if known is not None else links
+        around = pairs.select(F.col("node").alias("centre"), F.col("other").alias("member")).union(pairs.select(F.col("other").alias("centre"), F.col("node").alias("member")))
         around = around.union(lists.select(F.col("node").alias("centre"), F.col("node").alias("member"))).distinct()
         # A hub's crowd is dealt over parts by a hash that changes with the round's salt.
         crowd = around.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("salts"))
         dealt = around.join(crowd, "centre").withColumn("salt", F.expr("int(pmod(xxhash64(member, centre), salts))")).join(own, "member")
-        met = dealt.select("centre", "salt", "member", "unit").repartition("centre", "salt").sortWithinPartitions("centre", "salt", "member")
+        met = dealt.select("centre", "salt", "member", "unit", "part").repartition("centre", "salt").sortWithinPartitions("centre", "salt", "member")
 
         def meet(t: pa.Table):
-            return _best(t.column("member").to_numpy(), _stack(t.column("unit").combine_chunks(), np.float32), k)
+            return _best(t, "member", k)
 
         fresh = cut(_lists(links.union(met.mapInArrow(grouped(2, meet, BLOCK), edge)), k))
         old = lists.select("node", F.transform("near", lambda x: x.other).alias("was"))
@@ -129,8 +138,7 @@ def neighbours(vectors: DataFrame, k: int = K, trees: int = TREES, rounds: int =
         discard(lists)
         lists = fresh
         if not changed[1] or changed[0] <= SETTLED * changed[1]:
-            break
-    return lists
+            return lists
 
 
 def _counted(threshold: float):
@@ -204,14 +212,13 @@ def _large_links(members: DataFrame, sizes: DataFrame, threshold: float) -> Data
     return inner.union(met.mapInArrow(grouped(3, _crossed(threshold), 1 << 30), "node long, links long"))
 
 
-def link(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
+def link(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, trees: int = TREES) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (least vec_id reachable), kept."""
     raw = vectors.select(F.monotonically_increasing_id().alias("row_key"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     rows = cut(raw.mapInArrow(_unit, "row_key long, vec_id long, ok boolean, dim int, unit binary"))
     same = rows.where("ok").groupBy("unit", "dim").agg(F.min("row_key").alias("node"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     distinct = cut(same)
-    lists = neighbours(distinct.select("node", "dim", "unit"), k, trees, rounds)
-    close = lists.select("node", F.explode("near").alias("x")).where(F.col("x.sim") >= threshold - 1e-5).select(F.col("node").alias("a"), F.col("x.other").alias("b"))
+    lists = neighbours(distinct.select("node", "dim", "unit", F.col("node").alias("part")), k, trees)
 
     def exact(batches):
         for batch in batches:
@@ -219,8 +226,25 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, trees: in
             yield pa.record_batch([batch.column(0).filter(pa.array(hit)), batch.column(1).filter(pa.array(hit))], names=["a", "b"])
 
     own = distinct.select("node", "unit")
-    sides = close.join(own.toDF("a", "ua"), "a").join(own.toDF("b", "ub"), "b").select("a", "b", "ua", "ub")
-    parts = cut(components(sides.mapInArrow(exact, "a long, b long")))
+
+    def linked(lists: DataFrame) -> DataFrame:
+        close = lists.select("node", F.explode("near").alias("x")).where(F.col("x.sim") >= threshold - 1e-5).select(F.col("node").alias("a"), F.col("x.other").alias("b"))
+        sides = close.join(own.toDF("a", "ua"), "a").join(own.toDF("b", "ub"), "b").select("a", "b", "ua", "ub")
+        return cut(sides.mapInArrow(exact, "a long, b long"))
+
+    links = linked(lists)
+    parts = cut(components(links))
+    full = cut(lists.where((F.size("near") >= k) & (F.element_at("near", -1).sim >= threshold - 1e-5)).select("node", F.transform("near", lambda x: x.other).alias("near")))
+    known = full.select("node", F.explode("near").alias("other"))
+    passes = 0
+    while parts.join(full, "node").select("component").distinct().limit(2).count() > 1:
+        passes += 1
+        placed = distinct.join(full.select("node"), "node").join(parts, "node").select("node", "dim", "unit", F.col("component").alias("part"))
+        fresh = linked(neighbours(cut(placed), k, trees, 5 + passes, known))
+        if fresh.isEmpty():
+            break
+        links = links.union(fresh)
+        parts = cut(components(links))
     members = cut(distinct.join(parts, "node").select("component", "node", "unit", "copies"))
     sizes = cut(members.groupBy("component").agg(F.count("*").alias("n")))
     small = members.join(sizes.where(F.col("n") <= WHOLE), "component").select("component", "node", "unit", "copies")

@@ -248,6 +248,23 @@ def test_links_equal_brute_force(spark, whole, monkeypatch):
     assert embed_dedup.link(df.limit(0)).count() == 0
 
 
+def test_dense_groups_with_nearer_neighbours_of_their_own_are_linked(spark):
+    rng = np.random.default_rng(13)
+    centre, side, far = np.linalg.qr(rng.normal(size=(64, 3)))[0].T
+    tilt = np.arccos(0.95)
+    # Inside a group 0.97 or so, between neighbouring groups 0.92, between the outer two 0.78; the last group is apart.
+    middles = [np.cos(k * tilt) * centre + np.sin(k * tilt) * side for k in range(3)] + [far]
+    rows = np.concatenate([m + 0.175 / 8 * rng.normal(size=(30, 64)) for m in middles] + [rng.normal(size=(200, 64))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.9
+    nearest = np.argsort(-(unit @ unit.T), axis=1)[:90, 1:9] // 30
+    assert (nearest == np.arange(90)[:, None] // 30).all() and hit[:30, 30:60].mean() > 0.9 and not hit[:30, 60:90].any()
+    got = {r.vec_id: r for r in embed_dedup.link(df).collect()}
+    assert [got[i].n_links for i in range(len(rows))] == (hit.sum(axis=1) - 1).tolist()
+    assert [got[i].component_id for i in range(120)] == [0] * 90 + [90] * 30
+
+
 # --- 5: LM scoring ---------------------------------------------------------------------------------------------------
 
 
