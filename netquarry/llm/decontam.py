@@ -146,49 +146,92 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _without(part: pa.RecordBatch, words: _text.Words, hit: np.ndarray, rows, at: int, counted: int | None, max_share: float) -> pa.RecordBatch:
+    """A slice of documents without the hit words of ``rows``, and without those that are hit too much."""
+    texts, keep = part.column(at).to_pylist(), np.ones(part.num_rows, dtype=bool)
+    chars = part.column(counted).to_pylist() if counted is not None else None
+    for i in rows:
+        own = hit[words.first[i] : words.first[i + 1]]
+        keep[i] = own.mean() < max_share
+        raw = words.raw[words.offsets[i] : words.offsets[i + 1]]
+        stay = np.ones(len(raw) + 1, dtype=np.int64)
+        where = np.flatnonzero(own)
+        for r in np.split(where, np.flatnonzero(np.diff(where) > 1) + 1):
+            a = words.start[words.first[i] + r[0]] - words.offsets[i]
+            b = words.end[words.first[i] + r[-1]] - words.offsets[i]
+            stay[a:b] = 0
+        texts[i] = raw[stay[:-1] > 0].tobytes().decode("utf-8")
+        if chars is not None:
+            chars[i] = len(texts[i])
+    part = part.set_column(at, part.schema.field(at).name, pa.array(texts, part.schema.field(at).type))
+    if chars is not None:
+        part = part.set_column(counted, part.schema.field(counted).name, pa.array(chars, part.schema.field(counted).type))
+    return part.filter(pa.array(keep))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Documents without their contaminated spans; those with at least ``max_share`` of their words hit go.
 
-    All columns stay. ``n_chars``, where there is one, follows a changed text.
+    All columns stay. ``n_chars``, where there is one, follows a changed text. The hits of all blocks of a large benchmark
+    meet on the whole text before anything is cut or judged.
     """
     spark = docs.sparkSession
     blocks = _blocks(benchmark, window, max_windows)
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(Lookup(block, window))
-        at, counted = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    at, counted = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    if len(blocks) == 1:
+        shared = spark.sparkContext.broadcast(Lookup(blocks[0], window))
 
-        def run(batches, shared=shared, at=at, counted=counted):
+        def run(batches):
             for batch in batches:
-                column = batch.column(at)
-                for low, high in _text.slices(column):
+                for low, high in _text.slices(batch.column(at)):
                     part = batch.slice(low, high - low)
-                    words = _text.Words(column.slice(low, high - low), _text.ALNUM)
+                    words = _text.Words(part.column(at), _text.ALNUM)
                     hit, items = shared.value.scan(words)
                     if items:
-                        texts, keep = part.column(at).to_pylist(), np.ones(high - low, dtype=bool)
-                        chars = part.column(counted).to_pylist() if counted is not None else None
-                        for i in items:
-                            own = hit[words.first[i] : words.first[i + 1]]
-                            keep[i] = own.mean() < max_share
-                            raw = words.raw[words.offsets[i] : words.offsets[i + 1]]
-                            stay = np.ones(len(raw) + 1, dtype=np.int64)
-                            where = np.flatnonzero(own)
-                            for r in np.split(where, np.flatnonzero(np.diff(where) > 1) + 1):
-                                a = words.start[words.first[i] + r[0]] - words.offsets[i]
-                                b = words.end[words.first[i] + r[-1]] - words.offsets[i]
-                                stay[a:b] = 0
-                            texts[i] = raw[stay[:-1] > 0].tobytes().decode("utf-8")
-                            if chars is not None:
-                                chars[i] = len(texts[i])
-                        part = part.set_column(at, part.schema.field(at).name, pa.array(texts, part.schema.field(at).type))
-                        if chars is not None:
-                            part = part.set_column(counted, part.schema.field(counted).name, pa.array(chars, part.schema.field(counted).type))
-                        part = part.filter(pa.array(keep))
+                        part = _without(part, words, hit, items, at, counted, max_share)
                     if part.num_rows:
                         yield part
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+
+    keyed = cut(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+
+    def hits(block: list[tuple[int, str]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(Lookup(block, window))
+
+        def found(batches):
+            for batch in batches:
+                for low, high in _text.slices(batch.column(1)):
+                    words = _text.Words(batch.column(1).slice(low, high - low), _text.ALNUM)
+                    hit, items = shared.value.scan(words)
+                    rows = sorted(items)
+                    if rows:
+                        own = [np.flatnonzero(hit[words.first[i] : words.first[i + 1]]).tolist() for i in rows]
+                        yield pa.record_batch([batch.column(0).slice(low, high - low).take(pa.array(rows)), pa.array(own, pa.list_(pa.int64()))], names=["key", "hits"])
+
+        return cut(keyed.select("key", "row.text").mapInArrow(found, "key long, hits array<long>"))
+
+    every = hits(blocks[0])
+    for block in blocks[1:]:
+        every = every.union(hits(block))
+    every = every.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+
+    def rid(batches):
+        for batch in batches:
+            whole = pa.RecordBatch.from_arrays(batch.column(1).flatten(), names=[f.name for f in batch.schema.field(1).type])
+            for low, high in _text.slices(whole.column(at)):
+                part, own = whole.slice(low, high - low), batch.column(0).slice(low, high - low).to_pylist()
+                rows = [i for i, x in enumerate(own) if x]
+                if rows:
+                    words = _text.Words(part.column(at), _text.ALNUM)
+                    hit = np.zeros(len(words.start), dtype=bool)
+                    for i in rows:
+                        hit[words.first[i] + np.array(own[i])] = True
+                    part = _without(part, words, hit, rows, at, counted, max_share)
+                if part.num_rows:
+                    yield part
+
+    return keyed.join(every, "key", "left").select("hits", "row").mapInArrow(rid, docs.schema)
 
 
 def items_digest(ids: list) -> str:

@@ -401,6 +401,20 @@ def test_decontamination_equals_brute_force(spark, bound):
     assert decontam.report(docs(spark, []), bench).count() == 0 and decontam.report(docs(spark, ["a"]), bench.limit(0)).first().n_items == 0
 
 
+def test_cleaning_does_not_depend_on_the_size_of_the_benchmark(spark):
+    w = [f"b{k}" for k in range(100)]
+    a, b, c = w[:30], w[24:36], w[50:80]
+    texts = [None, "plain text", " ".join(["x"] * 40 + w[:36] + ["y"] * 40), " ".join(["x"] * 20 + a + ["y"] * 20 + c), " ".join(["x"] * 80 + c + ["y"] * 80)]
+    texts = texts * 2
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((a, b, c))], "item_id long, text string")
+    rows = docs(spark, texts).withColumn("n_chars", F.length("text").cast("long"))
+    size = sum(len(" ".join(x)) for x in (a, b, c))
+    bound = next(size // n + 1 for n in range(3, 40) if sum(map(bool, decontam._blocks(bench, 10, size // n + 1))) == 3)
+    one, many = (sorted(decontam.clean(rows, bench, max_windows=m).collect(), key=lambda r: r.doc_id) for m in (decontam.MAX_WINDOWS, bound))
+    assert one == many and [r.doc_id for r in many] == [0, 1, 2, 4, 5, 6, 7, 9]
+    assert many[2].text.split() == ["x"] * 40 + ["y"] * 40 and many[3].text.split() == ["x"] * 80 + ["y"] * 80 and all(r.text is None or r.n_chars == len(r.text) for r in many)
+
+
 # --- 10: personal data -----------------------------------------------------------------------------------------------
 
 
