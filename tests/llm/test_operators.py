@@ -320,6 +320,21 @@ def test_lm_base_equals_brute_force(spark):
     assert lm_score.score(docs(spark, [])).count() == 0
 
 
+def test_lm_learns_from_all_training_rows(spark):
+    rng = random.Random(14)
+    texts = [prose(rng, 40, 300) for _ in range(60)] + ["zebra crossing quixotic ünïcödé " * 30] * 3
+    s = Subwords.shared()
+    ids = [[2, *s.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    counts = np.bincount(np.concatenate(ids), minlength=lm_score.VOCABULARY)
+    model = lm_score.train(docs(spark, texts), sample_docs=3, sample_windows=10)
+    total = np.bincount(model.cls, weights=counts + 0.1, minlength=lm_score.CLASSES)
+    assert np.allclose(model.within, np.log(counts + 0.1) - np.log(total[model.cls]), atol=1e-5)
+    assert all(model.row[i] < lm_score.OWN_ROWS for i in np.flatnonzero(counts))
+    other = lm_score.train(docs(spark, [t if i % 2 else " ".join(reversed(t.split())) for i, t in enumerate(texts)]).union(docs(spark, texts, 100)), sample_docs=0)
+    still = lm_score.train(docs(spark, texts).union(docs(spark, texts, 100)), sample_docs=0)
+    assert any(not np.allclose(other.p[k], still.p[k]) for k in other.p) and all(np.isfinite(v).all() for v in other.p.values())
+
+
 # --- 7: HTML ---------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var x="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>
