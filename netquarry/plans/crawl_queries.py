@@ -76,18 +76,24 @@ def walk_sql(hops: int = 6) -> str:
 add(lambda s, d: crawl.walk(graph(s, d), one_run(s), 6), walk_sql(), "rw_trace")
 
 
+def tenth(e) -> float:
+    """A budget of a tenth of the nodes, five at least."""
+    return float(max(5, int(0.1 * prep.vertices(e).count())))
+
+
 def mod_curve(s, d):
     """Budget curve of the maximum-observed-degree crawl with a budget of a tenth of the nodes, five at least."""
     e = prep.giant_component(graph(s, d))
-    budget = max(5, int(0.1 * prep.vertices(e).count()))
-    return crawl.crawl(e, one_run(s), "mod", min(budget, 15)).select("run", "step", "nodes", "edges")
+    if e.limit(grouped.MAX_EDGES + 1).count() > grouped.MAX_EDGES:
+        return crawl.crawl(e, one_run(s), "mod", int(tenth(e))).select("run", "step", "nodes", "edges")
+    return grouped.crawl_all(e, ["mod"], 1, tenth(e), seed=SEED).select(F.lit("r").alias("run"), "step", "nodes", "edges")
 
 
 add(mod_curve)
 
 
-def _grouped(algos, trials=2, budget=12.0, **kw):
-    return lambda s, d: r6(grouped.crawl_all(graph(s, d), algos, trials, budget, **kw))
+def _grouped(algos, trials=2, **kw):
+    return lambda s, d: r6(grouped.crawl_all((e := graph(s, d)), algos, trials, tenth(e), **kw))
 
 
 for _a in ("opic", "pagerank", "vmab", "exp_den", "dense_ex", "hybrid", "k_rank", "max_score", "degree_gap", "quartile", "unobserved", "percentile", "escalating"):
@@ -109,7 +115,7 @@ add(grouped_mod, crawl_sql("mod"))
 
 
 def budget_curve(s, d):
-    return grouped.budget_curve(grouped.crawl_all(graph(s, d), ["med", "mod", "rw", "bfs", "sb", "random", "opic"], 2, 15.0), 5)
+    return grouped.budget_curve(grouped.crawl_all((e := graph(s, d)), ["med", "mod", "rw", "bfs", "sb", "random", "opic"], 2, tenth(e)), 5)
 
 
 add(budget_curve)

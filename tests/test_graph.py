@@ -217,3 +217,18 @@ def test_id_dictionary(spark):
 
 def test_pagerank_sums_to_one(spark):
     assert math.isclose(metrics.pagerank(toy(spark, "bridge"), 10).agg(F.sum("rank")).first()[0], 1.0, abs_tol=1e-9)
+
+
+def test_curves_run_a_tenth_of_the_nodes(spark, monkeypatch):
+    from netquarry.plans import crawl_queries
+
+    e = simulate.random_graph(spark, 300, 0.02).cache()
+    n = int(0.1 * prep.vertices(e).count())
+    monkeypatch.setattr(crawl_queries, "graph", lambda s, d: e)
+    rows = {r.step: r for r in crawl_queries.mod_curve(spark, "").collect()}
+    assert n > 15 and len(rows) == int(0.1 * prep.vertices(prep.giant_component(e)).count())
+    few = crawl.crawl(prep.giant_component(e), crawl_queries.one_run(spark), "mod", 4).collect()
+    assert all((rows[r.step].nodes, rows[r.step].edges) == (r.nodes, r.edges) for r in few)
+    for name in ("crawl_hybrid", "walk_variants", "incomplete_mod"):
+        assert crawl_queries.QUERIES[name](spark, "").agg(F.max("cost")).first()[0] == n
+    assert crawl_queries.QUERIES["budget_curve"](spark, "").agg(F.max("budget")).first()[0] == n // 5 * 5
