@@ -100,13 +100,43 @@ def sample_pagerank(c: Crawl, rounds: int = 20) -> dict[str, float]:
     return rank
 
 
-def eccentricity(c: Crawl, v: str) -> int:
-    seen, edge, level = {v}, [v], 0
+def distances(c: Crawl, v: str) -> dict[str, int]:
+    """Hops in the sample from v to all it reaches."""
+    away, edge = {v: 0}, [v]
     while edge:
-        edge = list({n for x in edge for n in c.near[x]} - seen)
-        seen.update(edge)
-        level += bool(edge)
-    return level
+        level = away[edge[0]] + 1
+        edge = list({n for x in edge for n in c.near[x]} - away.keys())
+        away.update(dict.fromkeys(edge, level))
+    return away
+
+
+def eccentricity(c: Crawl, v: str) -> int:
+    return max(distances(c, v).values())
+
+
+def farthest(c: Crawl) -> list[str]:
+    """The open nodes of greatest eccentricity (G12), of all open nodes.
+
+    Nodes with the same neighbours share theirs; a search from w bounds that of v by ecc(w) - d and ecc(w) + d, so only nodes
+    that can still be among the greatest are searched from.
+    """
+    twins: dict[frozenset, list[str]] = defaultdict(list)
+    for n in sorted(c.open):
+        twins[frozenset(c.near[n])].append(n)
+    most = {own[0]: math.inf for own in twins.values()}
+    exact: dict[str, int] = {}
+    while most:
+        v = max(most, key=most.get)
+        if exact and most[v] < max(exact.values()):
+            break
+        del most[v]
+        away = distances(c, v)
+        exact[v] = max(away.values())
+        for n in most:
+            if n in away:
+                most[n] = min(most[n], exact[v] + away[n])
+    best = max(exact.values())
+    return [n for own in twins.values() if exact.get(own[0]) == best for n in own]
 
 
 def _simple(rule):
@@ -220,8 +250,7 @@ def _exp_den(c: Crawl, v: str, budget: float, p: dict) -> None:
     den, exp = math.inf, 0.0
     while c.open and c.cost < budget:
         if p.get("eccentric"):
-            far = {n: eccentricity(c, n) for n in sorted(c.open)[:200]}
-            pick = c.top([n for n in far if far[n] == max(far.values())])
+            pick = c.top(farthest(c))
         else:
             ranked = sorted(c.open, key=lambda n: (-c.obs(n), n))
             pick = c.top(ranked[int(0.2 * len(ranked)) :])

@@ -1,6 +1,7 @@
 """Toy graphs with expected values computed by hand, invariants, and agreement of the two crawl executors."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,3 +233,22 @@ def test_curves_run_a_tenth_of_the_nodes(spark, monkeypatch):
     for name in ("crawl_hybrid", "walk_variants", "incomplete_mod"):
         assert crawl_queries.QUERIES[name](spark, "").agg(F.max("cost")).first()[0] == n
     assert crawl_queries.QUERIES["budget_curve"](spark, "").agg(F.max("budget")).first()[0] == n // 5 * 5
+
+
+def test_expansion_considers_every_open_node():
+    links = [("hub", f"a{k:03d}") for k in range(300)] + [(x, y) for t in "yz" for x, y in zip(["hub"] + [f"{t}{k}" for k in range(1, 5)], [f"{t}{k}" for k in range(1, 6)], strict=True)]
+    rng = random.Random(3)
+    for more in ([], [(f"n{k}", f"n{max(0, k - rng.randrange(1, 40))}") for k in range(1, 500)] + [("n0", "hub")] + [(f"n{9 * k}", f"n{rng.randrange(9 * k)}") for k in range(1, 50)]):
+        adj = {}
+        for x, y in {tuple(sorted(e)) for e in links + more}:
+            adj.setdefault(x, []).append(y)
+            adj.setdefault(y, []).append(x)
+        c = grouped.Crawl(grouped.Access({k: sorted(v) for k, v in adj.items()}), "dense_ex", 0, 1)
+        for v in ["hub", *(f"{t}{k}" for t in "yz" for k in range(1, 5)), *(f"n{k}" for k in range(0, 480, 3))]:
+            if v in adj:
+                c.query(v)
+        far = {n: grouped.eccentricity(c, n) for n in c.open}
+        assert len(far) > 300 and sorted(grouped.farthest(c)) == sorted(n for n in far if far[n] == max(far.values()))
+        assert more or set(grouped.farthest(c)) == {"y5", "z5"} and not {"y5", "z5"} & set(sorted(c.open)[:200])
+    adj = {k: sorted(v) for k, v in adj.items()}
+    assert grouped.run_one(adj, "dense_ex", 0, 50.0, 1)
