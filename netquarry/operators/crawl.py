@@ -1,4 +1,4 @@
-"""Crawlers as DataFrame steps: all runs of a batch advance one query per step.
+"""Crawlers as DataFrame steps: all runs of a batch advance one query per step (the rules of ``RULES`` and walks), and tables crawls use.
 
 State tables, keyed by run: closed(run, step, id) and open(run, id, obs, first): how many closed neighbours an open node
 has, and the step that found it. A step joins one node per run with the adjacency, so its cost follows the answers.

@@ -352,7 +352,9 @@ def run_one(adj: dict[str, list[str]], algo: str, trial: int, budget: float, see
     body, params = ALGORITHMS[algo]
     if incomplete:
         rules = {"mod": c.obs, "bfs": lambda n: -c.open[n], "random": lambda n: 0, "med": lambda n: c.deg(n) - c.obs(n), "opic": lambda n: c.opic[n]}
-        _skipping(c, start, budget, {"next": rules.get(algo, c.obs)})
+        if algo not in rules:
+            raise ValueError(f"{algo} has no rule for incomplete access: one of {', '.join(rules)}")
+        _skipping(c, start, budget, {"next": rules[algo]})
     else:
         body(c, start, budget, dict(params))
     return c.rows

@@ -1,4 +1,4 @@
-"""Learning (K1-K3): border classifier, logistic crawl model, sub-community search."""
+"""Learning (K1-K3): border classifier, logistic table classifier, sub-community search."""
 
 from __future__ import annotations
 
@@ -65,7 +65,7 @@ def border_knn(features: DataFrame, labels: DataFrame, shuffles: int = 10, seed:
 
 
 def logistic(train: DataFrame, test: DataFrame, label: str, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """(id, label, score) by logistic regression."""
+    """K2: (id, label, score) by logistic regression."""
     put = VectorAssembler(inputCols=list(columns), outputCol="x", handleInvalid="keep")
     model = LogisticRegression(featuresCol="x", labelCol=label, maxIter=50, regParam=0.01).fit(put.transform(train))
     return model.transform(put.transform(test)).select("id", F.col(label).alias("label"), vector_to_array("probability")[1].alias("score"))

@@ -299,7 +299,10 @@ def sub_communities(s, d):
 
 
 def multi_layer_community(s, d):
-    """Heads by PageRank of the cheap layer's communities near the start, as seeds of one budgeted growth."""
+    """The seeds of G41: the PageRank head of every cheap community, and the heads' neighbours with the number of heads.
+
+    The choice of communities next to a start, the budget of each seed and the R-growth are not implemented.
+    """
     layers = cut(graphs.layers(s, d))
     cheap = layers.where("layer = 1").select("src", "dst")
     com = community.best_partition(community.louvain(cheap, levels=2))

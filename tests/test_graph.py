@@ -252,3 +252,10 @@ def test_expansion_considers_every_open_node():
         assert more or set(grouped.farthest(c)) == {"y5", "z5"} and not {"y5", "z5"} & set(sorted(c.open)[:200])
     adj = {k: sorted(v) for k, v in adj.items()}
     assert grouped.run_one(adj, "dense_ex", 0, 50.0, 1)
+
+
+def test_incomplete_access_refuses_crawlers_without_a_rule():
+    adj = {"a": ["b"], "b": ["a"]}
+    assert grouped.run_one(adj, "mod", 0, 2.0, 1, 5, incomplete=True)
+    with pytest.raises(ValueError, match="pagerank"):
+        grouped.run_one(adj, "pagerank", 0, 2.0, 1, 5, incomplete=True)
