@@ -7,7 +7,8 @@ front of it (``L:``) and its shape (``S:``: hexadecimal, or its first four chara
 seed context (``SEEDS``) start with score 1. Over ``ROUNDS`` rounds a pattern's confidence is the summed score of its
 distinct instances over their number plus one, and an instance's score the best confidence among its patterns; patterns
 need two distinct instances, so a chance context teaches nothing. Instances that reach ``ACCEPT`` become spans of kind
-``id`` wherever they occur, unless a base span overlaps them. Scores use all documents.
+``id`` wherever they occur, unless a base span overlaps them. After a seed word or a trusted lexical pattern and its mark the
+whole value up to white space or a quote is an instance, of any shape and length. Scores use all documents.
 
 Edge cases: null and empty texts have no span; texts of any length are searched whole (patterns are possessive, so no
 match recurses or backtracks over a long run); repeated rows are searched each; an empty table gives no rows; extra
@@ -32,6 +33,10 @@ _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[ -]?[0-9]){12,}+"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _ID = r"(?:\G|(?<![A-Za-z0-9]))(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{%d,}+" % LEAST
+# The whole value, of any shape and length, after a seed word or after any word with a mark.
+_VALUE = r"[=:#\"]++ {0,2}\"?[^\s\"]++"
+_SEEDED = r"(?i)(?:%s)[A-Za-z_]*+ {0,2}%s" % (SEEDS, _VALUE)
+_NAMED = r"(?<![A-Za-z_])[A-Za-z_]++(?:[ _-][A-Za-z_]++)? {0,2}%s" % _VALUE
 
 _LUHN = """aggregate(sequence(1, length({d})), 0, (s, i) -> s + CASE WHEN i % 2 = 1 THEN int(substr({d}, length({d}) - i + 1, 1))
   WHEN int(substr({d}, length({d}) - i + 1, 1)) > 4 THEN 2 * int(substr({d}, length({d}) - i + 1, 1)) - 9 ELSE 2 * int(substr({d}, length({d}) - i + 1, 1)) END) % 10 = 0"""
@@ -69,17 +74,27 @@ def found(docs: DataFrame) -> DataFrame:
     df = _matched(df, "card", _CARD, F.col("digits"))
     df = _matched(df, "phone", _PHONE, F.col("digits") & F.contains("text", F.lit("+")))
     df = _matched(df, "ids", _ID, F.col("digits"))
+    df = _matched(df, "seeded", _SEEDED, F.col("text").rlike("[=:#\"]"))
+    df = _matched(df, "named", _NAMED, F.col("text").rlike("[=:#\"]"))
     kept = [f"transform(filter({k}, x -> {c}), x -> struct({i} AS kind, x.start AS start, x.end AS end))" for i, (k, c) in enumerate(_CHECKS.items())]
     df = df.withColumn("base", F.expr(f"array_sort(concat({', '.join(kept)}))"))
     shape = "CASE WHEN x.hit RLIKE '^[0-9a-f]++$' THEN concat('S:hex', length(x.hit)) ELSE concat('S:', left(x.hit, 4), length(x.hit)) END"
     # The word in front and the marks between it and the token; random prose in front is no lexical pattern.
     left = "concat('L:', lower(regexp_replace(regexp_extract(right(x.gap, 48), '([A-Za-z_]++[ _-]?[A-Za-z_]*+ {0,2}[=:#\"]++ {0,2}[\"]?)$', 1), ' ', '')))"
     free = "filter(ids, x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))"
-    return df.withColumn("candidates", F.expr(f"transform({free}, x -> struct(x.start AS start, x.end AS end, x.hit AS value, {left} AS left, {shape} AS shape))")).drop("digits", "email", "ip", "card", "phone", "ids")
-
-
-def _scored(places: DataFrame) -> DataFrame:
-    """(value, score): the pattern-instance graph scored iteratively from its seeds."""
+    df = df.withColumn("candidates", F.expr(f"transform({free}, x -> struct(x.start AS start, x.end AS end, x.hit AS value, {left} AS left, {shape} AS shape))"))
+    for name in ("seeded", "named"):
+        front = r"""regexp_extract(x.hit, '^([^=:#"]*+[=:#"]++ {0,2}"?)', 1)""".replace("\\", "\\\\")
+        value = f"regexp_replace(substring(x.hit, length({front}) + 1), '[.,;:!?)>}}\\']++$', '')"
+        parts = f"transform({name}, x -> struct(x.start + length({front}) AS start, {value} AS hit, concat('L:', lower(replace({front}, ' ', ''))) AS left))"
+        whole = f"transform({parts}, x -> struct(x.start AS start, x.start + length(x.hit) AS end, x.hit AS hit, x.left AS left))"
+        valid = f"filter({whole}, x -> x.hit <> '' AND NOT exists(base, b -> b.start < x.end AND x.start < b.end))"
+        df = df.withColumn(name, F.expr(f"transform({valid}, x -> struct(x.start AS start, x.end AS end, x.hit AS value, x.left AS left, {shape} AS shape))"))
+    return df.withColumn("candidates", F.concat("candidates", "seeded")).drop("digits", "email", "ip", "card", "phone", "ids", "seeded")
+
+
+def _scored(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value, score) and the trusted left patterns: the pattern-instance graph scored iteratively from its seeds."""
     seed = F.col("left").rlike(f"^L:.*({SEEDS})")
     seeds = places.groupBy("value").agg(F.max(F.when(seed, 1.0).otherwise(0.0)).alias("seed"))
     edges = cut(places.select("value", F.explode(F.array("left", "shape")).alias("pattern")).where("pattern <> 'L:'").distinct().join(seeds, "value"))
@@ -91,17 +106,22 @@ def _scored(places: DataFrame) -> DataFrame:
         fresh = cut(edges.join(trust, "pattern").groupBy("value").agg(F.greatest(F.max("seed"), F.max("trust")).alias("score")))
         discard(score)
         score = fresh
-    return score
+    trust = edges.join(score, "value").where("pattern LIKE 'L:%'").groupBy("pattern").agg(F.sum("score").alias("mass"), F.count("*").alias("n"))
+    return score, trust.where((F.col("n") > 1) & (F.col("mass") / (F.col("n") + 1) >= ACCEPT)).select(F.col("pattern").alias("left"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """``docs`` with row_key, base and extra: the sorted arrays of base spans and of discovered ones."""
     marked = cut(found(docs))
     places = marked.where(F.size("candidates") > 0).select("row_key", F.explode("candidates").alias("c")).select("row_key", "c.*")
-    good = _scored(places).where(F.col("score") >= ACCEPT).select("value")
-    extra = places.join(good, "value").groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("extra"))
+    score, trusted = _scored(places)
+    named = marked.where(F.size("named") > 0).select("row_key", F.explode("named").alias("c")).select("row_key", "c.*").join(trusted, "left")
+    hit = places.join(score.where(F.col("score") >= ACCEPT).select("value"), "value").select("row_key", "start", "end").union(named.select("row_key", "start", "end"))
+    extra = hit.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("extra"))
+    # A span inside a longer one says nothing more.
+    extra = extra.withColumn("extra", F.expr("filter(extra, x -> NOT exists(extra, y -> y.start <= x.start AND x.end <= y.end AND y.end - y.start > x.end - x.start))"))
     none = F.expr("cast(array() AS array<struct<kind:int,start:bigint,end:bigint>>)")
-    return marked.drop("candidates").join(extra, "row_key", "left").withColumn("extra", F.coalesce("extra", none))
+    return marked.drop("candidates", "named").join(extra, "row_key", "left").withColumn("extra", F.coalesce("extra", none))
 
 
 def _listed(column: str) -> Column:

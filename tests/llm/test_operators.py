@@ -464,6 +464,17 @@ def test_personal_data_equals_brute_force(spark):
     assert pii.report(docs(spark, [])).count() == 0
 
 
+def test_whole_values_after_seeds_are_found(spark):
+    values = ["123-45-6789", "hunter", "X1234567", "550e8400-e29b-41d4-a716-446655440000", "sk_live_4eC39HqLyjWDarjt", "QWxhZGRpbjpvcGVuK3Nlc2FtZQ+/=", "a1"]
+    texts = [f"note: {k} {v} then more" for k, v in zip(("ssn:", "my password =", "passport#", "token:", "api_key:", "secret:", "account:"), values, strict=True)]
+    texts += ["a plain sentence: nothing here"]
+    spans = [r.spans for r in pii.report(docs(spark, texts)).orderBy("doc_id").collect()]
+    clean = [r.text for r in pii.redact(docs(spark, texts)).orderBy("doc_id").collect()]
+    for t, v, got, c in zip(texts, values, spans, clean, strict=False):
+        assert got == f"id:{t.index(v)}:{t.index(v) + len(v)}" and c == t.replace(v, "[ID]")
+    assert spans[-1] == "" and clean[-1] == texts[-1]
+
+
 def test_no_python_in_personal_data(spark):
     plan = pii.found(docs(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
