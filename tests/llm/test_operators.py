@@ -287,21 +287,89 @@ def test_attention_gradients():
         assert abs((up - down) / (2 * eps) - d[k][at]) < 1e-4
 
 
+def brute_tokens(model, stream, text):
+    """Log class chances of every next id and of a word's begin, window by window."""
+    step, out = lm_score.WINDOW - lm_score.CONTEXT, []
+    for t in range(len(stream) - 1):
+        low = t // step * step - lm_score.CONTEXT
+        at = [i for i in range(low, t + 1)]
+        x = np.array([[stream[i] if i >= 0 else lm_score.END_ID for i in at]])
+        y = model.forward(x, np.array([[text[i] if i >= 0 else -1 for i in at]]))[0, -1]
+        k = model.cls[stream[t + 1]]
+        out.append((y[k], np.log(model.begins[k] / (np.exp(y) * model.begins).sum())))
+    return np.array(out).T
+
+
+def noisy(seed):
+    model, rng = lm_score.Attention(), np.random.default_rng(seed)
+    model.begins = rng.uniform(0.1, 0.9, lm_score.CLASSES).astype(np.float32)
+    model.starts = rng.uniform(0.1, 0.9, lm_score.VOCABULARY)
+    model.p["b2"] = rng.normal(0, 0.3, lm_score.CLASSES).astype(np.float32)
+    return model, rng
+
+
 def test_attention_is_causal_and_scores_each_token_once():
-    model = lm_score.Attention()
-    rng = np.random.default_rng(8)
+    model, rng = noisy(8)
     stream = rng.integers(0, 500, 300)
     text = np.repeat([0, 1, 2], 100)
     whole = model.tokens(stream, text)
-    assert len(whole) == 299
+    assert [len(w) for w in whole] == [299, 299]
     changed = stream.copy()
     changed[150:] = 7
-    assert np.allclose(model.tokens(changed, text)[:149], whole[:149], atol=1e-5)
-    x, own = np.stack([stream[:32], stream[90:122]]), np.stack([text[:32], text[90:122]])
-    y = model.forward(x, own)
+    assert np.allclose(model.tokens(changed, text)[0][:149], whole[0][:149], atol=1e-5)
+    assert np.allclose(whole, brute_tokens(model, stream, text), atol=1e-4)
+    y = model.forward(np.stack([stream[:32], stream[90:122]]), np.stack([text[:32], text[90:122]]))
     assert np.allclose(np.exp(y).sum(axis=2), 1, atol=1e-4)
-    target = rng.integers(0, lm_score.CLASSES, x.shape)
-    assert np.allclose(model.scored(x, own, target), np.take_along_axis(y, target[:, :, None], axis=2)[:, :, 0], atol=1e-4)
+
+
+def test_lm_scores_equal_brute_force():
+    model, rng = noisy(10)
+    random_ = random.Random(3)
+    texts = ["", "one", "Two, two two? two", "ünïcödé — x" * 3, *(prose(random_, 70, 60) for _ in range(3))]
+    s = Subwords.shared()
+    finals = s.finals()
+    known = Counter(w for t in texts for w in t.translate(LOW).split())
+    names = sorted(known)[::2]  # the others are no common words
+    hashes = np.array([_text.hash_word(w.encode()) for w in names], dtype=np.uint64)
+    begun = rng.integers(1, 50, lm_score.VOCABULARY)
+    scorer = lm_score.Scorer(model, hashes, np.array([known[w] for w in names]), 1000, len(texts), begun, finals)
+    coded = list(lm_score._encoded(None)([pa.record_batch([pa.array(range(len(texts))), pa.array([True] * len(texts)), pa.array(texts)], names=["doc_id", "trains", "text"])]))
+    got = scorer.rows(*(pa.concat_arrays([c.column(i) for c in coded]) for i in (2, 3, 4)))
+    words = [t.translate(LOW).split() for t in texts]
+    ids = [[s.tokenizer.encode(w, add_special_tokens=False).ids for w in ws] for ws in words]
+    stream = [lm_score.END_ID]
+    label = []
+    for i, text in enumerate(ids):
+        stream += [x for w in text for x in w] + [lm_score.END_ID]
+        label += [i] * (sum(map(len, text)) + 1)
+    logp, turn = brute_tokens(model, np.array(stream), np.array([*label, len(ids)]))
+    a, b, c, d = scorer.weights
+    at = 0
+    for i, text in enumerate(ids):
+        score = 0.0
+        rare = []
+        for j, w in enumerate(text):
+            n = known[words[i][j]] if words[i][j] in names else 0
+            spell = 0.0
+            for k, x in enumerate(w):
+                mark = np.log(model.starts[x]) if k == 0 else np.log(1 - model.starts[x]) if finals[w[k - 1]] else 0
+                spell += logp[at + k] + model.within[x] + mark
+            factor = np.exp(logp[at] + turn[at]) / begun[model.cls == model.cls[w[0]]].sum()
+            pointer = words[i][:j].count(words[i][j]) / max(j, 1)
+            share = (a if j else a + d) / 1000 + b * factor
+            rest = c * np.exp(spell) + d * pointer
+            if words[i][j] in names:
+                score += math.log10(share * n + rest)
+            else:
+                rare.append((math.log10(rest), share))
+            at += len(w)
+        k = model.cls[lm_score.END_ID]
+        factor = np.exp(logp[at] + turn[at]) / begun[model.cls == k].sum()
+        score += math.log10(((a + d) / 1000 + b * factor) * len(texts) + c * np.exp(logp[at] + model.within[lm_score.END_ID]))
+        at += 1
+        cuts, _, rests, shares = got["rare"]
+        assert got["score"][i] == pytest.approx(score, rel=1e-3)
+        assert np.allclose(np.stack([rests, shares], axis=1)[cuts[i] : cuts[i + 1]], np.array(rare).reshape(-1, 2), rtol=1e-3)
 
 
 def test_lm_base_equals_brute_force(spark):
@@ -324,14 +392,16 @@ def test_lm_learns_from_all_training_rows(spark):
     rng = random.Random(14)
     texts = [prose(rng, 40, 300) for _ in range(60)] + ["zebra crossing quixotic ünïcödé " * 30] * 3
     s = Subwords.shared()
-    ids = [[2, *s.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    ids = [[*s.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
     counts = np.bincount(np.concatenate(ids), minlength=lm_score.VOCABULARY)
-    model = lm_score.train(docs(spark, texts), sample_docs=3, sample_windows=10)
+    train = lambda d, **k: lm_score.train(lm_score.encode(d), **k)[0]
+    model, begun = lm_score.train(lm_score.encode(docs(spark, texts)), sample_docs=3, sample_windows=10)
     total = np.bincount(model.cls, weights=counts + 0.1, minlength=lm_score.CLASSES)
     assert np.allclose(model.within, np.log(counts + 0.1) - np.log(total[model.cls]), atol=1e-5)
+    assert begun.sum() == sum(len(t.split()) + 1 for t in texts)
     assert all(model.row[i] < lm_score.OWN_ROWS for i in np.flatnonzero(counts))
-    other = lm_score.train(docs(spark, [t if i % 2 else " ".join(reversed(t.split())) for i, t in enumerate(texts)]).union(docs(spark, texts, 100)), sample_docs=0)
-    still = lm_score.train(docs(spark, texts).union(docs(spark, texts, 100)), sample_docs=0)
+    other = train(docs(spark, [t if i % 2 else " ".join(reversed(t.split())) for i, t in enumerate(texts)]).union(docs(spark, texts, 100)), sample_docs=0)
+    still = train(docs(spark, texts).union(docs(spark, texts, 100)), sample_docs=0)
     assert any(not np.allclose(other.p[k], still.p[k]) for k in other.p) and all(np.isfinite(v).all() for v in other.p.values())
 
 
