@@ -126,8 +126,8 @@ class Classifier:
 
 
 def _contexts(batches):
-    """Summed context vectors of hashed words over a partition's texts."""
-    index, total = index_vectors(FORMS), np.zeros((BUCKETS, DIM))
+    """Summed context vectors of hashed words over a partition's texts, in whole numbers (the scale falls out later)."""
+    index, total = np.sign(index_vectors(FORMS)), np.zeros((BUCKETS, DIM))
     for batch in batches:
         for low, high in _text.slices(batch.column(2)):
             words = _text.Words(batch.column(2).slice(low, high - low), _text.SPACED)
@@ -140,29 +140,34 @@ def _contexts(batches):
                 around[:-k] += index[form[k:]] * near
             np.add.at(total, word, around)
     used = np.flatnonzero(np.abs(total).sum(1))
-    yield pa.record_batch([pa.array(used), pa.array(total[used].tolist(), pa.list_(pa.float64()))], names=["bucket", "vector"])
+    yield pa.record_batch([pa.array(used), *(pa.array(total[used, i].astype(np.int64)) for i in range(DIM))], names=["bucket", *(f"v{i}" for i in range(DIM))])
 
 
 def learn(docs: DataFrame, labels: DataFrame, fold_of: int = 4, held: int = 2, limit: int = MAX_LABELLED) -> Classifier:
-    """A classifier from the labelled rows whose remainder modulo ``fold_of`` is not ``held``."""
+    """A classifier from the labelled rows whose remainder modulo ``fold_of`` is not ``held``. The driver gets one row for each
+    hashed word (``BUCKETS``) and one vector for each training row."""
     rows = labelled(docs, labels, "quality", fold_of, held, limit).persist()
     model = Classifier()
     try:
-        sums = rows.mapInArrow(_contexts, "bucket long, vector array<double>").select("bucket", F.posexplode("vector")).groupBy("bucket", "pos").agg(F.sum("col").alias("v")).toPandas()
-        model.context[sums["bucket"], sums["pos"]] = sums["v"]
+        names = [f"v{i}" for i in range(DIM)]
+        sums = rows.mapInArrow(_contexts, "bucket long, " + ", ".join(f"{v} long" for v in names)).groupBy("bucket").agg(*[F.sum(v).alias(v) for v in names]).toArrow()
+        if len(sums):
+            model.context[sums.column("bucket").to_numpy()] = np.stack([sums.column(v).to_numpy() for v in names], axis=1)
+        del sums
         model.context /= np.maximum(np.linalg.norm(model.context, axis=1, keepdims=True), 1e-6)
 
         def run(batches):
             for batch in batches:
                 for low, high in _text.slices(batch.column(2)):
                     x = model.pooled(batch.column(2).slice(low, high - low))
-                    yield pa.record_batch([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(x.tolist(), pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
+                    yield pa.record_batch([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
-        seen = rows.mapInArrow(run, "doc_id long, label int, x array<float>").toPandas().sort_values("doc_id")
+        seen = rows.mapInArrow(run, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
     finally:
         rows.unpersist()
-    if seen["label"].nunique() == 2:
-        model.train(np.stack(seen["x"].to_numpy()), seen["label"].to_numpy().astype(np.float64))
+    label = seen.column("label").to_numpy()
+    if len(set(label.tolist())) == 2:
+        model.train(np.frombuffer(b"".join(seen.column("x").to_pylist()), dtype=np.float32).reshape(len(seen), -1), label.astype(np.float64))
     return model
 
 
