@@ -2,50 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.cluster import ship
+from netquarry.cluster import cut, discard, ship  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "netquarry-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as a Parquet table in the shared folder and read it back, so that lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nq-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._nq_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``cut`` that no later plan reads."""
-    path = getattr(df, "_nq_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def remainder(column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``: the fold of a row."""
     return F.crc32(column.cast("string")) % F.lit(modulus)

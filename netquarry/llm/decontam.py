@@ -6,13 +6,16 @@ of a window is hit. Candidate windows are found by 64-bit hash and verified word
 
 Edge cases: null and empty texts have no words and are never hit; an item without words matches nothing; an empty
 benchmark leaves every document clean; repeated rows are scanned each on its own; extra columns pass through.
-The broadcast set holds at most ``MAX_WINDOWS`` windows: a larger benchmark is scanned in several bounded passes.
+The broadcast set holds at most ``MAX_WINDOWS`` windows: a larger benchmark is scanned in several bounded passes, and the
+driver holds the items of one pass at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm import _text
-from netquarry.llm._io import cut
+from netquarry.llm._io import cut, discard
 
 WINDOW = 10
 MAX_WINDOWS = 1_000_000
@@ -69,22 +72,21 @@ class Lookup:
         return np.cumsum(edge[:-1]) > 0, items
 
 
-def _blocks(benchmark: DataFrame, window: int, max_windows: int) -> list[list[tuple[int, str]]]:
-    """Items in blocks whose windows fit the broadcast bound; only the count is taken before the blocks are read."""
+def _blocks(benchmark: DataFrame, window: int, max_windows: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of blocks of items whose windows fit the broadcast bound, and the blocks, each read when it is asked for."""
     items = benchmark.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # Every window costs at least one byte of text, so bytes bound windows.
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // max_windows))
-    if n == 1:
-        return [[tuple(r) for r in items.collect()]]
-    return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()] for b in range(n)]
+    block = lambda b: items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+    return n, ([tuple(r) for r in block(b).collect()] for b in range(n))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, spans (hit byte ranges), items (sorted as text)."""
     spark = docs.sparkSession
     source = docs.select("doc_id", "text")
-    blocks = _blocks(benchmark, window, max_windows)
+    passes, blocks = _blocks(benchmark, window, max_windows)
     schema = "row_key long, doc_id long, n_words long, hits array<long>, spans array<struct<start:long,end:long>>, items array<string>"
 
     def one(block: list[tuple[int, str]]) -> DataFrame:
@@ -122,20 +124,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_window
 
         return source.mapInArrow(run, schema)
 
-    if len(blocks) == 1:
-        return one(blocks[0]).withColumn("n_hit", F.size("hits").cast("long"))
+    if passes == 1:
+        return one(next(blocks)).withColumn("n_hit", F.size("hits").cast("long"))
     # A benchmark beyond the bound: hits of each bounded pass meet by row. Each pass is a job of its own, as row keys hold
     # the number of the task.
     parts = [cut(one(b)) for b in blocks]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p.where(F.size("hits") > 0))
-    return cut(whole.groupBy("row_key").agg(
+    out = cut(whole.groupBy("row_key").agg(
         F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     ).withColumn("n_hit", F.size("hits").cast("long")))
+    discard(*parts)
+    return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -176,10 +180,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5, window:
     meet on the whole text before anything is cut or judged.
     """
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, window, max_windows)
+    passes, blocks = _blocks(benchmark, window, max_windows)
     at, counted = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    if len(blocks) == 1:
-        shared = spark.sparkContext.broadcast(Lookup(blocks[0], window))
+    if passes == 1:
+        shared = spark.sparkContext.broadcast(Lookup(next(blocks), window))
 
         def run(batches):
             for batch in batches:
@@ -209,12 +213,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5, window:
                         own = [np.flatnonzero(hit[words.first[i] : words.first[i + 1]]).tolist() for i in rows]
                         yield pa.record_batch([batch.column(0).slice(low, high - low).take(pa.array(rows)), pa.array(own, pa.list_(pa.int64()))], names=["key", "hits"])
 
-        return cut(keyed.select("key", "row.text").mapInArrow(found, "key long, hits array<long>"))
+        out = cut(keyed.select("key", "row.text").mapInArrow(found, "key long, hits array<long>"))
+        shared.destroy()
+        return out
 
-    every = hits(blocks[0])
-    for block in blocks[1:]:
-        every = every.union(hits(block))
-    every = every.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+    parts = [hits(block) for block in blocks]
+    every = reduce(DataFrame.union, parts)
+    every = cut(every.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits")))
+    discard(*parts)
 
     def rid(batches):
         for batch in batches:

@@ -14,6 +14,9 @@ bucket's main one meets the texts of other components whose estimate lies within
 best first, in two rounds until none is left; a pair is taken in the first band it shares and in no other. So a bucket's candidates go unverified only where their ends are
 linked already, and no pair list of a bucket is written.
 
+Estimates under ``LIKELY``, four standard errors below the threshold, are taken for no candidates; ``likely`` 0 takes all.
+Keys that hold many rows (a bucket, a group of copies, a class) are salted in joins.
+
 Edge cases: null, empty and white-space texts have no shingle and stay alone; equal word sequences are one class (their
 first row stands for them in the bands); repeated rows and ids share a class; an empty table gives an empty result; extra
 columns are ignored by ``classes`` and kept by ``keep_one``.
@@ -28,13 +31,15 @@ from pyspark.sql import functions as F
 
 from netquarry.llm import _text
 from netquarry.llm._graph import components
-from netquarry.llm._io import cut
+from netquarry.llm._io import cut, discard
 from netquarry.llm._stream import grouped
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
 PART, SALTED = 1024, 256
+#: A key that holds over 1/HOT of all rows is salted in joins; so the table of such keys is bounded.
+HOT = 1000
 #: Components of a longer signature, kept in a byte each, for the texts that share a bucket: a standard error of 0.0204 at 0.8.
 LONG = 384
 #: The least estimate of a candidate, four standard errors under the threshold.
@@ -199,6 +204,17 @@ def _read(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.column("rep").to_numpy(), t.column("total").to_numpy(), sig
 
 
+def _joined(rows: DataFrame, small: DataFrame, keys: list[str], size: str, total: int, by: str) -> DataFrame:
+    """``rows`` joined to ``small``, which has one row for each key and says how many of ``rows`` it has: those of a hot key are
+    dealt by ``by`` to several copies of its row."""
+    share = max(PART, total // HOT)
+    salted = small.withColumn("salts", F.ceil(F.col(size) / F.lit(share)).cast("int"))
+    hot = salted.where("salts > 1").select(*keys, "salts")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.expr(f"int(pmod(xxhash64({by}), coalesce(salts, 1)))")).drop("salts")
+    copies = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(copies, [*keys, "salt"]).drop("salt")
+
+
 def _estimates(a: np.ndarray, b: np.ndarray, ta: np.ndarray, tb: np.ndarray, similar: float) -> np.ndarray:
     """Estimated similarities; -1 where the bags' sizes rule a link out."""
     out = np.empty((len(a), len(b)), dtype=np.float32)
@@ -208,7 +224,7 @@ def _estimates(a: np.ndarray, b: np.ndarray, ta: np.ndarray, tb: np.ndarray, sim
     return out
 
 
-def _forest(similar: float):
+def _forest(similar: float, likely: float):
     """The greatest spanning forest of a bucket part over its estimates (Prim)."""
 
     def body(t: pa.Table):
@@ -221,7 +237,7 @@ def _forest(similar: float):
         pairs = []
         for _ in range(len(rep) - 1):
             j = int(np.argmax(np.where(out, -2, best)))
-            if best[j] >= LIKELY:
+            if best[j] >= likely:
                 pairs.append(sorted((int(rep[via[j]]), int(rep[j]))))
             out[j] = True
             nearer = est[j] > best
@@ -233,7 +249,7 @@ def _forest(similar: float):
     return body
 
 
-def _asked(similar: float, taken: int):
+def _asked(similar: float, taken: int, likely: float):
     """For each asking text of a bucket part, its best candidates in other components."""
 
     def body(t: pa.Table):
@@ -244,7 +260,7 @@ def _asked(similar: float, taken: int):
             return None
         est = _estimates(sig[a], sig[b], total[a], total[b], similar)
         est[comp[a][:, None] == comp[b][None, :]] = -1
-        i, j = np.nonzero(est >= LIKELY)
+        i, j = np.nonzero(est >= likely)
         bands, key = np.array(t.column("bands").to_pylist(), dtype=np.int64), t.column("key")[0].as_py()
         mine = np.empty(len(i), dtype=bool)
         for c in range(0, len(i), 1 << 16):
@@ -267,68 +283,81 @@ def _parted(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *columns[:1])
 
 
-def _crossing(rows: DataFrame, parts: DataFrame, similar: float, taken: int) -> DataFrame:
+def _crossing(rows: DataFrame, parts: DataFrame, similar: float, taken: int, total: int, likely: float) -> DataFrame:
     """(hub, doc, more): candidates between components that share a bucket. Every tile of asking texts meets every part."""
     own = rows.join(parts, rows.rep == parts.node, "left").select("key", "n", "rep", "total", "sig", "bands", F.coalesce("component", "rep").alias("part"))
     sizes = own.groupBy("key", "part").count()
     main = sizes.groupBy("key").agg(F.max(F.struct("count", "part")).alias("top"), F.count("*").alias("parts"), F.sum("count").alias("all")).where("parts > 1")
-    main = main.select("key", F.col("top.part").alias("main"), F.ceil((F.col("all") - F.col("top.count")) / F.lit(PART)).cast("int").alias("tiles"))
-    split = cut(own.join(main, "key").withColumn("salts", F.ceil(F.col("n") / F.lit(PART)).cast("int")))
+    main = main.select("key", "all", F.col("top.part").alias("main"), F.ceil((F.col("all") - F.col("top.count")) / F.lit(PART)).cast("int").alias("tiles"))
+    split = cut(_joined(own, main, ["key"], "all", total, "rep").drop("all").withColumn("salts", F.ceil(F.col("n") / F.lit(PART)).cast("int")))
     salt, tile = F.expr("int(pmod(xxhash64(rep, key), salts))"), F.expr("int(pmod(xxhash64(key, rep), tiles))")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     every = split.select("key", salt.alias("salt"), each("tiles").alias("tile"), "rep", "total", "sig", "bands", "part", F.lit(False).alias("asks"))
     asking = split.where("part <> main").select("key", each("salts").alias("salt"), tile.alias("tile"), "rep", "total", "sig", "bands", "part", F.lit(True).alias("asks"))
     dealt = _parted(every.union(asking), ["key", "salt", "tile"], ["rep", "total", "sig", "bands", "part", "asks"])
     # The hashes keep a group near 2 * PART rows; it is never cut, as rows of two chunks would not meet.
-    met = dealt.mapInArrow(grouped(3, _asked(similar, taken), 1 << 40), "hub long, doc long, more boolean")
-    return met.groupBy("hub", "doc").agg(F.max("more").alias("more"))
+    met = dealt.mapInArrow(grouped(3, _asked(similar, taken, likely), 1 << 40), "hub long, doc long, more boolean")
+    out = cut(met.groupBy("hub", "doc").agg(F.max("more").alias("more")))
+    discard(split)
+    return out
 
 
-def _classed(docs: DataFrame, rest: Column, similar: float) -> tuple[DataFrame, DataFrame]:
+def _classed(docs: DataFrame, rest: Column, similar: float, likely: float) -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs`` with their keys and ``rest``; and row_key, doc_id, class_id, class_size, kept of each."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("rest"))
     schema = "row_key long, doc_id long, h1 long, h2 long, total long, bands array<long>, text string, rest " + given.schema["rest"].dataType.simpleString()
     signed = cut(given.mapInArrow(_signed, schema))
-    first = signed.groupBy("h1", "h2").agg(F.min("row_key").alias("rep"))
-    member = cut(signed.select("row_key", "doc_id", "h1", "h2").join(first, ["h1", "h2"]).select("row_key", "doc_id", "rep"))
+    total = signed.count()
+    first = signed.groupBy("h1", "h2").agg(F.min("row_key").alias("rep"), F.count("*").alias("copies"))
+    member = cut(_joined(signed.select("row_key", "doc_id", "h1", "h2"), first, ["h1", "h2"], "copies", total, "row_key").select("row_key", "doc_id", "rep"))
     alone = member.where("row_key = rep").select("row_key")
     keys = signed.select("row_key", "bands").join(alone, "row_key").select(F.explode("bands").alias("key"), F.col("row_key").alias("rep"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(keys.join(shared, "key"))
+    shared = cut(_joined(keys, keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), ["key"], "n", total, "rep"))
     mates = shared.select(F.col("rep").alias("row_key")).distinct()
     texts = cut(signed.select("row_key", "total", "text", "bands").join(mates, "row_key").mapInArrow(_lengthened, "row_key long, total long, text string, bands array<long>, sig binary"))
     rows = cut(shared.join(texts.select(F.col("row_key").alias("rep"), "total", "sig", "bands"), "rep"))
+    discard(shared)
     salted = rows.withColumn("salt", F.expr(f"int(pmod(xxhash64(rep, key), ceil(n / {PART})))"))
-    forest = _parted(salted, ["key", "salt"], ["rep", "total", "sig"]).mapInArrow(grouped(2, _forest(similar), 2 * PART), "hub long, doc long")
+    forest = _parted(salted, ["key", "salt"], ["rep", "total", "sig"]).mapInArrow(grouped(2, _forest(similar, likely), 2 * PART), "hub long, doc long")
     tested = cut(forest.distinct())
+    own = [tested]
     body = texts.select("row_key", "text")
     links = cut(_verify(body, tested, similar))
+    own.append(links)
     parts = cut(components(links))
     for taken in TAKEN:
-        found = cut(_crossing(rows, parts, similar, taken))
+        found = _crossing(rows, parts, similar, taken, total, likely)
         fresh = cut(found.select("hub", "doc").join(tested, ["hub", "doc"], "left_anti"))
         last = found.where("more").isEmpty()
+        own += [found, fresh]
         if not fresh.isEmpty():
             new = cut(_verify(body, fresh, similar))
+            own.append(new)
             tested = tested.union(fresh)
             if not new.isEmpty():
                 links = links.union(new)
-                parts = cut(components(links))
+                before, parts = parts, cut(components(links))
+                discard(before)
         if last:
             break
-    placed = member.join(parts, member.rep == parts.node, "left").select("row_key", "doc_id", F.coalesce("component", "rep").alias("part"))
+    discard(rows, texts, *own)
+    placed = cut(member.join(parts, member.rep == parts.node, "left").select("row_key", "doc_id", F.coalesce("component", "rep").alias("part")))
+    discard(member, parts)
     class_of = placed.groupBy("part").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("class_size"))
-    return signed, placed.join(class_of, "part").select("row_key", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row_key") == F.col("first.row_key")).alias("kept"))
+    return signed, _joined(placed, class_of, ["part"], "class_size", total, "row_key").select("row_key", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row_key") == F.col("first.row_key")).alias("kept"))
 
 
-def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of its class), class_size, kept (its first row)."""
-    return _classed(docs, F.lit(0), similar)[1].drop("row_key")
+def classes(docs: DataFrame, similar: float = SIMILAR, likely: float = LIKELY) -> DataFrame:
+    """One row per document: doc_id, class_id (least doc_id of its class), class_size, kept (its first row). With ``likely`` 0
+    all texts that share a band are candidates, whatever their longer signatures say."""
+    signed, placed = _classed(docs, F.lit(0), similar, likely)
+    discard(signed)
+    return placed.drop("row_key")
 
 
-def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def keep_one(docs: DataFrame, similar: float = SIMILAR, likely: float = LIKELY) -> DataFrame:
     """One row of each class, with the columns of ``docs``: the first row of the least id."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    signed, placed = _classed(docs, F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0), similar)
+    signed, placed = _classed(docs, F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0), similar, likely)
     kept = signed.select("row_key", "doc_id", "text", "rest").join(placed.where("kept").select("row_key"), "row_key")
     return kept.select(*[F.col("rest").getField(c).alias(c) if c in others else F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -130,20 +130,30 @@ def _listed(column: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per document: counts by kind, the hash of its base spans and all spans."""
+    """Per document: counts by kind (``n_id``: discovered spans; ``n_spans``: all), the hash of its base spans and all spans."""
     df = spans(docs.select("doc_id", "text"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) AS bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    return df.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), F.array_join(F.filter(F.array(_listed("base"), _listed("extra")), lambda x: x != ""), ",").alias("spans"))
+    more = [F.size("extra").cast("long").alias("n_id"), (F.size("base") + F.size("extra")).cast("long").alias("n_spans")]
+    return df.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), F.array_join(F.filter(F.array(_listed("base"), _listed("extra")), lambda x: x != ""), ",").alias("spans"), *more)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; ``n_chars``, where there is one, follows."""
-    df = spans(docs).withColumn("all", F.expr("array_sort(transform(concat(base, extra), x -> struct(x.start AS start, x.end AS end, x.kind AS kind)))"))
+    """``docs`` with every span replaced by its kind in brackets; ``n_chars``, where there is one, follows a changed text. A null
+    text becomes empty. All columns but the text travel in one struct, so no name of theirs meets one used here."""
+    others = [c for c in docs.columns if c != "text"]
+    given = docs.select("text", F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("rest"))
+    df = spans(given).withColumn("all", F.expr("array_sort(transform(concat(base, extra), x -> struct(x.start AS start, x.end AS end, x.kind AS kind)))"))
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     text = F.expr(f"""CASE WHEN size(all) = 0 THEN text ELSE aggregate(all, struct(0L AS at, '' AS out),
       (a, x) -> CASE WHEN x.start >= a.at THEN struct(x.end AS at, concat(a.out, substring(text, int(a.at + 1), int(x.start - a.at)), array({names})[x.kind]) AS out)
                      ELSE struct(greatest(a.at, x.end) AS at, a.out AS out) END,
       a -> concat(a.out, substring(text, int(a.at + 1)))) END""")
     df = df.withColumn("clean", text)
-    changed = {"text": F.col("clean")} | ({"n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return df.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("clean")
+        own = F.col("rest").getField(f"c{others.index(c)}")
+        return F.when(F.size("all") > 0, F.length("clean").cast(docs.schema[c].dataType)).otherwise(own) if c == "n_chars" else own
+
+    return df.select(*[column(c).alias(c) for c in docs.columns])

@@ -7,8 +7,8 @@ rows. Near copies among the training rows count once, so one copied document can
 lexicon entry that clean rows hold and toxic ones hardly do is an exception phrase, whose hits do not count. A document's
 evidence is its hits' weights, in all and per word; two logistic coefficients fitted on the same rows make the score.
 
-At most ``MAX_LABELLED`` labelled rows are used, those of least hash of their id; the lexicon holds at most
-``MAX_ENTRIES`` entries: both are bounds on what reaches the driver. Every text is scored whole.
+At most ``MAX_LABELLED`` labelled rows are used, those of least hash of their id; the lexicon's entries occur in several of
+them, so their number is bounded too. Every text is scored whole.
 
 Edge cases: null and empty texts have no hits and get the score of a clean text; without usable labels the built-in
 lexicon and coefficients hold; repeated rows are scored each; an empty table gives no rows; extra columns are ignored.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from netquarry.llm import _text
 from netquarry.llm._io import remainder
 
-MAX_LABELLED, MAX_ENTRIES = 12_000, 2_000
+MAX_LABELLED, SKETCH = 12_000, 8
 STEMS = (4, 5, 6)
 LEAST_SHARE, LEAST_DOCS, LEAST_WEIGHT, LEAST_G2 = 0.005, 4, 2.5, 18.0
 
@@ -173,14 +173,22 @@ class Lexicon:
 
 
 def _learnable(batches):
-    """Training texts to (doc_id, label, sketch): a sketch equal among near copies."""
+    """Training texts to (doc_id, label, sketch): a sketch equal among near copies, of ``SKETCH`` least three-word windows, or
+    of the whole of a text with fewer words."""
     for batch in batches:
         for low, high in _text.slices(batch.column(2)):
-            words = _text.Words(batch.column(2).slice(low, high - low), _text.SPACED)
+            n = high - low
+            words = _text.Words(batch.column(2).slice(low, n), _text.SPACED)
             at, value = words.windows(3)
-            least = np.full(high - low, np.iinfo(np.uint64).max, dtype=np.uint64)
-            np.minimum.at(least, words.owner[at], value)
-            yield pa.record_batch([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(least.view(np.int64)), batch.column(2).slice(low, high - low)], names=["doc_id", "label", "sketch", "text"])
+            place = (np.arange(len(words.hash)) - words.first[words.owner]).astype(np.uint64)
+            whole = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_text.mix(words.hash ^ _text.mix(place + np.uint64(1))))])
+            sketch = np.zeros(n, dtype=np.uint64)
+            for t in range(SKETCH):
+                least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+                np.minimum.at(least, words.owner[at], _text.mix(value ^ np.uint64(t)))
+                sketch = _text.mix(sketch ^ least)
+            sketch = np.where(words.counts < 3, _text.mix(whole[words.first[1:]] - whole[words.first[:-1]]), sketch)
+            yield pa.record_batch([batch.column(0).slice(low, n), batch.column(1).slice(low, n), pa.array(sketch.view(np.int64)), batch.column(2).slice(low, n)], names=["doc_id", "label", "sketch", "text"])
 
 
 def _terms(text: str) -> tuple[set[str], set[str]]:
@@ -243,11 +251,11 @@ def learn(docs: DataFrame, labels: DataFrame, fold_of: int = 5, held: int = 0, l
         both, share = F.col("toxic") + F.col("clean"), p / (p + n)
         ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / (both * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0.0))
         best = terms.where(F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * p)).withColumn("weight", weight).where((F.col("weight") >= LEAST_WEIGHT) & (ratio >= LEAST_G2))
-        top = best.orderBy(F.desc("toxic"), "term").limit(MAX_ENTRIES).collect()
+        top = best.collect()
         weights = _thinned({r.term: (r.toxic, r.clean, r.weight) for r in top})
         lexicon = Lexicon({w: 4.0 for w in BUILT_IN if w not in weights} | weights)
         found = rows.mapInArrow(_contexts(lexicon), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        spared = found.where("clean >= 3 AND clean >= 10 * (toxic + 0.5)").orderBy(F.desc("clean"), "phrase").limit(MAX_ENTRIES).collect()
+        spared = found.where("clean >= 3 AND clean >= 10 * (toxic + 0.5)").orderBy("phrase").collect()
         lexicon = Lexicon(lexicon.weights, EXCEPTIONS + tuple(r.phrase for r in spared))
         shared = rows.mapInArrow(_featured(lexicon), "label int, a double, b double").toPandas()
         lexicon.coefficients = _fit(shared[["a", "b"]].to_numpy(), shared["label"].to_numpy().astype(float))

@@ -137,13 +137,17 @@ def near_copies(rng, n):
     return out
 
 
-def test_near_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("part, likely", [(1024, minhash.LIKELY), (4, 0.0)])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, part, likely):
+    monkeypatch.setattr(minhash, "PART", part)  # 4: parts, tiles and salts come into play
     rng = random.Random(3)
-    texts = [*ODD, "", "one", "word " * 3000, *near_copies(rng, 60), *(prose(rng, 80, 9000) for _ in range(40))]
-    got = {r.doc_id: r for r in minhash.classes(docs(spark, texts)).collect()}
+    texts = [*ODD, "", "one", "word " * 3000, *near_copies(rng, 60), *(prose(rng, 80, 9000) for _ in range(40))] + ["the same words once more " * 4] * (3 * part % 1000)
+    got = {r.doc_id: r for r in minhash.classes(docs(spark, texts), likely=likely).collect()}
     want = brute_classes(texts)
     assert {i: r.class_id for i, r in got.items()} == want
     assert all(r.kept == (i == want[i]) for i, r in got.items())
+    if part == 4:
+        return
     kept = minhash.keep_one(docs(spark, texts))
     assert kept.columns == ["doc_id", "text", "score", "row_key"] and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
     assert minhash.classes(docs(spark, [])).count() == 0
@@ -156,7 +160,7 @@ def test_every_asking_text_meets_every_member_of_its_bucket(spark, monkeypatch):
     for linked in ([], [(r, 0) for r in range(25)]):
         parts = spark.createDataFrame(linked, "node long, component long")
         of = dict(linked)
-        found = minhash._crossing(rows, parts, 0.8, 1 << 40).collect()
+        found = minhash._crossing(rows, parts, 0.8, 1 << 40, 40, minhash.LIKELY).collect()
         assert {(r.hub, r.doc) for r in found} == {(a, b) for b in range(40) for a in range(b) if of.get(a, a) != of.get(b, b)}
         assert not any(r.more for r in found)
 
@@ -194,6 +198,26 @@ def test_toxicity_learns_and_unmasks(spark):
     assert toxicity.learn(docs(spark, []), lab.limit(0)).weights and toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_short_and_unlike_training_texts_count_each(spark):
+    rng = random.Random(21)
+    texts = [f"word{i} other{i}" for i in range(200)] + ["one two three " + prose(rng, 60, 10**6) for _ in range(100)]
+    near = " ".join(prose(rng, 200, 10**6).split())
+    batch = pa.record_batch([pa.array(range(len(texts) + 3)), pa.array([0] * (len(texts) + 3), pa.int32()), pa.array([*texts, near, near, "word1 other1"])], names=["doc_id", "label", "text"])
+    sketch = next(iter(toxicity._learnable([batch]))).column(2).to_pylist()
+    assert len(set(sketch)) == len(texts) + 1 and sketch[-3] == sketch[-2] and sketch[-1] == sketch[1]
+
+
+def test_repeated_training_rows_and_ties(spark):
+    texts = ["you zorgle " + " ".join(f"a{i}" for i in range(k, k + 20)) for k in range(30)] + [" ".join(f"b{i}" for i in range(k, k + 20)) for k in range(90)]
+    lab = spark.createDataFrame([(i, int(i >= 30), int(i < 30)) for i in range(120)] * 2, "doc_id long, quality int, toxic int")
+    twice = docs(spark, texts).union(docs(spark, texts)).repartition(5)
+    for op, threshold in ((toxicity, 0.5), (quality, 0.7)):
+        out = op.score(twice, op.learn(twice, lab)).groupBy("doc_id").agg({"score": "max", "doc_id": "count"}).collect()
+        assert all(r["count(doc_id)"] == 2 for r in out) and len(out) == 120
+        right = sum((r["max(score)"] >= threshold) == (r.doc_id < 30 if op is toxicity else r.doc_id >= 30) for r in out)
+        assert right >= 114
+
+
 def test_exceptions_shield_hits():
     lex = toxicity.Lexicon({"trash": 4.0, "lowe*": 4.0}, ("trash can",))
     mass, hits, words = lex.evidence(pa.array(["a trash can", "trash talk", "lowest flower", "tr4sh!", "", "x"]))
@@ -494,7 +518,7 @@ def test_cleaning_does_not_depend_on_the_size_of_the_benchmark(spark):
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((a, b, c))], "item_id long, text string")
     rows = docs(spark, texts).withColumn("n_chars", F.length("text").cast("long"))
     size = sum(len(" ".join(x)) for x in (a, b, c))
-    bound = next(size // n + 1 for n in range(3, 40) if sum(map(bool, decontam._blocks(bench, 10, size // n + 1))) == 3)
+    bound = next(size // n + 1 for n in range(3, 40) if sum(map(bool, decontam._blocks(bench, 10, size // n + 1)[1])) == 3)
     one, many = (sorted(decontam.clean(rows, bench, max_windows=m).collect(), key=lambda r: r.doc_id) for m in (decontam.MAX_WINDOWS, bound))
     assert one == many and [r.doc_id for r in many] == [0, 1, 2, 4, 5, 6, 7, 9]
     assert many[2].text.split() == ["x"] * 40 + ["y"] * 40 and many[3].text.split() == ["x"] * 80 + ["y"] * 80 and all(r.text is None or r.n_chars == len(r.text) for r in many)
@@ -545,6 +569,14 @@ def test_whole_values_after_seeds_are_found(spark):
     assert spans[-1] == "" and clean[-1] == texts[-1]
 
 
+def test_redaction_keeps_columns_of_clashing_names(spark):
+    names = ["row_key", "base", "all", "email", "ip", "card", "phone", "ids", "digits", "hits", "gaps", "candidates", "extra", "named", "rest", "clean"]
+    given = spark.createDataFrame([(1, "a@b.co said hi", *range(len(names)), 14), (2, None, *range(len(names)), None), (3, "plain", *range(len(names)), 99)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names) + ", n_chars long")
+    out = {r.doc_id: r for r in pii.redact(given).collect()}
+    assert all(tuple(out[k][n] for n in names) == tuple(range(len(names))) for k in out)
+    assert (out[1].text, out[1].n_chars) == ("[EMAIL] said hi", 15) and (out[2].text, out[2].n_chars, out[3].n_chars) == ("", None, 99)
+
+
 def test_no_python_in_personal_data(spark):
     plan = pii.found(docs(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
