@@ -17,8 +17,10 @@ import pyarrow.compute as pc
 from netquarry.llm import _text
 
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks held by a worker before its cache starts anew; bounds memory only.
-CACHED = 1_500_000
+#: Chunks held by a worker before those go that were met in one slice only; bounds memory only.
+CACHED = 800_000
+#: Pieces of chunks held for new chunks that share them.
+PIECES = 150_000
 
 # The vocabulary's own pre-token rule for lower-case ASCII without white space.
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -73,6 +75,22 @@ class Subwords:
         self.index: dict[str, int] = {}
         self.pieces: dict[str, tuple[int, int]] = {}
         self._flat, self._starts, self._lengths = array("H"), array("q"), array("i")
+        self.met = np.zeros(0, dtype=np.int32)
+        self._view()
+
+    def _shrink(self) -> None:
+        """Keep the chunks met most often, half of the bound at most, and those only that were met again."""
+        least = max(2, int(np.partition(self.met, -(CACHED // 2))[-(CACHED // 2)]) + 1)
+        kept = np.flatnonzero(self.met >= least)
+        names, ids = list(self.index), self.flat[_text.ragged(self.starts[kept], self.lengths[kept].astype(np.int64))]
+        lengths, met = self.lengths[kept], self.met[kept] // 2
+        names = [names[k] for k in kept.tolist()]
+        self._reset()
+        self.index = {name: k for k, name in enumerate(names)}
+        self._flat.frombytes(ids.tobytes())
+        self._lengths.frombytes(lengths.astype(np.int32).tobytes())
+        self._starts.frombytes((np.cumsum(lengths, dtype=np.int64) - lengths).tobytes())
+        self.met = met
         self._view()
 
     def _view(self) -> None:
@@ -107,6 +125,8 @@ class Subwords:
 
     def _add(self, chunks: list[str]) -> None:
         split = list(map(self._split, chunks))
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
         pieces, flat, starts, lengths = self.pieces, self._flat, self._starts, self._lengths
         self._encoded(list({p for s in split for p in s if p not in pieces}))
         n = len(self.index)
@@ -127,7 +147,7 @@ class Subwords:
     def chunks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Cache places of the white-space chunks of each text, and the bounds of the rows among them."""
         if len(self.index) > CACHED:
-            self._reset()
+            self._shrink()
         column = column.fill_null("") if column.null_count else column
         parts = pc.ascii_split_whitespace(column)
         bounds = np.asarray(parts.offsets).astype(np.int64)
@@ -141,6 +161,8 @@ class Subwords:
             self._add([names[k] for k in missing])
             for i, k in enumerate(missing):
                 place[k] = n + i
+        self.met = np.concatenate([self.met, np.zeros(len(self.index) - len(self.met), dtype=np.int32)])
+        self.met[place] += 1
         codes = np.asarray(coded.indices)
         own = np.array(place, dtype=np.int64)[codes] if len(codes) else np.zeros(0, dtype=np.int64)
         blank = coded.dictionary.index("").as_py() if len(names) else -1
