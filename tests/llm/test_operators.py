@@ -454,6 +454,53 @@ def test_constant_slots_become_template():
     assert html_extract.extract([page.format("same")] * 3) == ["Welcome to the site same All rights reserved"] * 3
 
 
+def test_slots_decide_without_names(monkeypatch):
+    for names in ("_MARKS", "_WEAK", "_DROPPED"):
+        monkeypatch.setattr(html_extract, names, frozenset())
+    page = "<html><body><div class=t>The Daily</div><ul><li><a href=/>Home</a><li><a href=/x>{1}</a></ul><div><h1>Story {0}</h1><p>Text {0} of <a href=/y>the</a> day.</div><div class=b>Read more every day</div></body></html>"
+    assert html_extract.extract([page.format(k, "abc"[k % 3]) for k in range(9)]) == [f"Story {k} Text {k} of the day." for k in range(9)]
+
+
+def test_content_with_weak_names_stays():
+    page = "<article><h1>T {0}</h1><div class=search-results>Found {0}</div><p class=notice>Notice {0}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>{0}</mn></math>.</p><div class=related-links><a>All</a> <a>more {0}</a></div><p class=share-price>{0} euro</p></article>"
+    assert html_extract.extract([page.format(k) for k in range(8)]) == [f"T {k} Found {k} Let x={k}. {k} euro" for k in range(8)]
+
+
+def test_deep_pages_are_extracted():
+    deep = "<div>" * 5000 + "deep {0}" + "</div>" * 5000
+    got = html_extract.extract([f"<html><body><main>{deep.format(k)}</main></body></html>" for k in range(6)])
+    assert got == [f"deep {k}" for k in range(6)]
+
+
+def test_matching_is_greatest():
+    rng = random.Random(5)
+
+    def tree(depth):
+        return (rng.choice("ab"), ""), [], [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []
+
+    def slot(t):
+        s = html_extract.Slot(t[0])
+        s.children = [slot(c) for c in t[2]]
+        return s
+
+    def brute(a, b):
+        if a.label != b[0]:
+            return 0
+
+        def best(x, y):
+            if not x or not y:
+                return 0
+            return max(best(x[1:], y), best(x, y[1:]), (brute(x[0], y[0]) + best(x[1:], y[1:])) if x[0].label == y[0][0] else 0)
+
+        return 1 + best(a.children, b[2])
+
+    for _ in range(200):
+        a, b = slot(tree(3)), tree(3)
+        if a.label == b[0]:
+            size, pairs = html_extract.match(a, b, {})
+            assert size == brute(a, b) == 1 + sum(brute(a.children[i], b[2][j]) for i, j in pairs) and pairs == sorted(pairs)
+
+
 # --- 8: chat ---------------------------------------------------------------------------------------------------------
 
 
