@@ -48,12 +48,20 @@ def random_node(edges: DataFrame, seed: int) -> DataFrame:
 
 
 def random_high_degree(edges: DataFrame, seed: int, share: float = 0.3) -> DataFrame:
-    """C6, C7 (on a community's edges): a random node among the top share by degree."""
+    """A random node among the top share by degree."""
     deg = degrees(edges)
     n = deg.count()
     return deg.orderBy(F.desc("deg"), "id").limit(max(1, int(share * n))).orderBy(u(seed, 0, "id"), "id").limit(1).select("id")
 
 
+def random_in_largest(edges: DataFrame, com: DataFrame, seed: int, share: float = 0.5) -> DataFrame:
+    """A random node among the top share by degree of the largest community of com(id, com); the least label wins ties."""
+    largest = com.groupBy("com").count().orderBy(F.desc("count"), "com").limit(1).select("com")
+    own = degrees(edges).join(com.join(F.broadcast(largest), "com", "left_semi"), "id").select("id", "deg")
+    n = own.count()
+    return own.orderBy(F.desc("deg"), "id").limit(max(1, int(share * n))).orderBy(u(seed, 0, "id"), "id").limit(1).select("id")
+
+
 def layered_neighbours(layers: DataFrame, asked: DataFrame) -> DataFrame:
     """(layer, id, nbr, cost): layer 0 costs 1, others 0.2."""
     pairs = layers.select("layer", F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("nbr")), F.struct(F.col("dst").alias("id"), F.col("src").alias("nbr")))).alias("e")).select("layer", "e.*")

@@ -36,9 +36,34 @@ RULES: dict[str, Callable[[int], list[Column]]] = {
     "cash": lambda t: [F.desc(F.round("cash", 9))],
     "bfs": lambda t: [F.asc("first"), _first_seen_u()],
     "sb": lambda t: [F.asc("first"), _first_seen_u()],
+    "opic": lambda t: [F.desc(F.round("opic", 9))],
+    "k_rank": lambda t: [],
+    "degree_gap": lambda t: [F.asc(F.col("obs") < F.col("mean")), F.desc(F.col("obs") - F.col("mean"))],
+    "max_score": lambda t: [F.desc("near")],
+    "unobserved": lambda t: [F.desc("fresh")],
 }
 
 
+def _weighed(rule: str, own: DataFrame, closed: DataFrame, open_: DataFrame, adj: DataFrame, deg: DataFrame, t: int) -> DataFrame:
+    """The open nodes ``own`` with what a rule asks of them besides their own columns."""
+    if rule == "k_rank":  # G26: any of the top tenth by excess degree, if that is over two nodes
+        w = Window.partitionBy("run")
+        own = own.withColumn("rank", F.row_number().over(w.orderBy(F.desc(F.col("deg") - F.col("obs")), _u(t), "id"))).withColumn("cut", F.floor(F.count("*").over(w) * F.lit(0.1)))
+        return own.where("rank = 1 OR (cut > 2 AND rank <= cut)")
+    if rule == "degree_gap":  # G29: against the mean degree of the closed nodes
+        return own.join(F.broadcast(closed.join(deg, "id").groupBy("run").agg(F.avg("deg").alias("mean"))), "run")
+    if rule == "max_score":  # G28: neighbours of the ten closed nodes of highest degree, once there are more
+        w = Window.partitionBy("run").orderBy(F.desc("deg"), "id")
+        top = closed.join(deg, "id").withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("run"))).where("k <= 10 AND n > 10")
+        near = top.select("run", "id").join(adj.select("id", "nbr"), "id").select("run", F.col("nbr").alias("id"), F.lit(1).alias("near")).distinct()
+        return own.join(near, ["run", "id"], "left").withColumn("near", F.coalesce("near", F.lit(0)))
+    if rule == "unobserved":  # G31: neighbours that nobody has seen
+        seen = closed.select("run", F.col("id").alias("nbr")).union(open_.select("run", F.col("id").alias("nbr")))
+        fresh = own.select("run", "id").join(adj.select("id", "nbr"), "id").join(seen, ["run", "nbr"], "left_anti").groupBy("run", "id").agg(F.count("*").alias("fresh"))
+        return own.join(fresh, ["run", "id"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))
+    return own
+
+
 def crawl(edges: DataFrame, runs: DataFrame, rule: str, steps: int, start: DataFrame | None = None) -> DataFrame:
     """(run, step, id, obs, nodes, edges): the trace of runs(run, seed); nodes and edges are counts after the step.
 
@@ -49,27 +74,28 @@ def crawl(edges: DataFrame, runs: DataFrame, rule: str, steps: int, start: DataF
     if start is None:
         first = runs.crossJoin(deg.select("id"))  # runs are few; the table is a node list per run
         start = first.groupBy("run").agg(F.min(F.struct(_u(0), "id")).alias("m")).select("run", F.col("m.id").alias("id"))
-    current = cut(start.select("run", "id", F.lit(0).cast("long").alias("obs")))
-    open_ = cut(runs.limit(0).select("run", F.lit("").alias("id"), F.lit(0).cast("long").alias("obs"), F.lit(0).alias("first"), F.lit(True).alias("queued"), F.lit(0.0).alias("cash")))
+    current = cut(start.select("run", "id", F.lit(0).cast("long").alias("obs"), F.lit(1.0).alias("opic")))
+    open_ = cut(runs.limit(0).select("run", F.lit("").alias("id"), F.lit(0).cast("long").alias("obs"), F.lit(0).alias("first"), F.lit(True).alias("queued"), F.lit(0.0).alias("cash"), F.lit(0.0).alias("opic")))
     closed = current.limit(0).select("run", "id")
     trace = None
     for t in range(1, steps + 1):
         rows = current.select("run", F.lit(t).alias("step"), "id", "obs")
         trace = rows if trace is None else trace.union(rows)
         closed = cut(closed.union(current.select("run", "id")))
-        answer = current.join(adj, "id").select("run", F.col("nbr").alias("id"), (1.0 / F.col("deg")).alias("share")).join(closed, ["run", "id"], "left_anti")
+        answer = current.join(adj, "id").select("run", F.col("nbr").alias("id"), (1.0 / F.col("deg")).alias("share"), (F.col("opic") / F.col("deg")).alias("paid")).join(closed, ["run", "id"], "left_anti")
         known = open_.join(current.select("run", "id"), ["run", "id"], "left_anti")
-        both = known.select("run", "id", "obs", "first", "queued", "cash").join(answer, ["run", "id"], "full_outer")
+        both = known.select("run", "id", "obs", "first", "queued", "cash", "opic").join(answer, ["run", "id"], "full_outer")
         fresh = F.col("first").isNull()
         both = both.join(F.broadcast(runs.select("run", "seed")), "run").withColumn("rank", F.row_number().over(Window.partitionBy("run", fresh).orderBy(_u(t), "id"))) if rule == "sb" else both
         if rule == "sb":
             both = both.withColumn("half", F.ceil(F.count("*").over(Window.partitionBy("run", fresh)) / 2))
         queued = F.when(fresh, F.col("rank") <= F.col("half")).otherwise(F.col("queued")) if rule == "sb" else F.lit(True)
-        open_ = cut(both.select("run", "id", (F.coalesce("obs", F.lit(0)) + F.when(F.col("share").isNull(), 0).otherwise(1)).cast("long").alias("obs"), F.coalesce("first", F.lit(t)).alias("first"), queued.alias("queued"), (F.coalesce("cash", F.lit(1.0)) + F.coalesce("share", F.lit(0.0))).alias("cash")))
+        open_ = cut(both.select("run", "id", (F.coalesce("obs", F.lit(0)) + F.when(F.col("share").isNull(), 0).otherwise(1)).cast("long").alias("obs"), F.coalesce("first", F.lit(t)).alias("first"), queued.alias("queued"), (F.coalesce("cash", F.lit(1.0)) + F.coalesce("share", F.lit(0.0))).alias("cash"), (F.coalesce("opic", F.lit(1.0)) + F.coalesce("paid", F.lit(0.0))).alias("opic")))
         if t < steps:
             own = open_.where("queued").join(deg, "id").join(F.broadcast(runs.select("run", "seed")), "run")
             w = Window.partitionBy("run").orderBy(*RULES[rule](t), _u(t), "id")
-            current = cut(own.withColumn("k", F.row_number().over(w)).where("k = 1").select("run", "id", "obs"))
+            own = _weighed(rule, own, closed, open_, adj, deg, t)
+            current = cut(own.withColumn("k", F.row_number().over(w)).where("k = 1").select("run", "id", "obs", "opic"))
             if current.isEmpty():
                 break
     trace = cut(trace)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,9 @@ class Access:
 class Crawl:
     """The state of one run: closed and open nodes, the sample's links, the cost and the trace."""
 
-    def __init__(self, access: Access, algo: str, trial: int, seed: int):
+    def __init__(self, access: Access, algo: str, trial: int, seed: int, com: dict[str, int] | None = None, cheap: dict[str, int] | None = None):
+        self.com, self.cheap = com or {}, cheap or {}  # a partition, and degrees in a cheap layer
+        self.found: dict[int, list[str]] = defaultdict(list)  # step -> nodes that it found
         self.access, self.algo, self.trial, self.seed = access, algo, trial, seed
         self.closed: dict[str, int] = {}
         self.open: dict[str, int] = {}  # id -> step that found it
@@ -84,8 +87,9 @@ class Crawl:
                 self.edges += 1
             self.cash[n] += 1 / self.deg(v)
             self.opic[n] += mine / self.deg(v)
-            if n not in self.closed:
-                self.open.setdefault(n, self.step)
+            if n not in self.closed and n not in self.open:
+                self.open[n] = self.step
+                self.found[self.step].append(n)
         self.opic[v] = 0.0
         total = len(self.closed) + len(self.open)
         self.rows.append((self.algo, self.trial, self.step, self.cost, v, obs, float(score), total, self.edges))
@@ -242,11 +246,111 @@ def _vmab(c: Crawl, v: str, budget: float, p: dict) -> None:
         rewards[arm].append(float(c.query(pick, score(arm))))
 
 
+def _seed_walk(c: Crawl, v: str, budget: float, p: dict) -> list[str]:
+    """A walk that accepts a neighbour with probability min(1, its observed degree / the degree here); the nodes it took."""
+    took: list[str] = []
+    for hop in range(int(50 * budget) + 100):
+        if c.cost >= budget or (not c.open and c.closed):
+            break
+        if v not in c.closed:
+            c.query(v)
+        n = min(c.near[v], key=lambda x: (u_py(c.seed, hop, x), x))
+        if u_py(c.seed, hop, "accept") < c.obs(n) / len(c.near[v]):
+            v = n
+            took.append(v)
+    return took
+
+
+def calibrated_weight(c: Crawl, took: list[str]) -> tuple[float, float]:
+    """The greatest closed degree over the mean degree that the harmonic estimate (E12) of the nodes taken gives; and it."""
+    own = [c.obs(n) for n in set(took)] or [c.obs(n) for n in c.closed]
+    mean = math.ceil(len(own) / sum(1 / max(1, d) for d in own))
+    return max(map(c.obs, c.closed)) / mean, float(mean)
+
+
+def _random_exp(c: Crawl, v: str, budget: float, p: dict) -> None:
+    """A seed walk, then random expansion alone."""
+    _walk(c, v, min(budget, max(5.0, 0.15 * budget)), {})
+    while c.open and c.cost < budget:
+        ranked = sorted(c.open, key=lambda n: (-c.obs(n), n))
+        c.query(c.top(ranked[int(0.2 * len(ranked)) :]))
+
+
+def _oracle(c: Crawl, v: str, budget: float, p: dict) -> None:
+    """With a partition at hand: expand towards the community with most unseen members for its size, densify on the
+    candidate with most unseen neighbours while the densification score stays at 0.1 or more."""
+    members: dict[int, set[str]] = defaultdict(set)
+    for n, k in c.com.items():
+        members[k].add(n)
+    pick: str | None = v
+    while pick is not None and c.cost < budget:
+        den = 1.0
+        while pick is not None and c.cost < budget and den >= 0.1:
+            obs = c.obs(pick)
+            new, room = c.query(pick, den), max(0, c.deg(pick) - obs)
+            den = (0.5 * den if c.step > 1 else 0.0) + (new / room if room else 0.0)
+            ranked = sorted(c.open, key=lambda n: (-c.obs(n), n))
+            seen = set(c.closed) | set(c.open)
+            cand = ranked[: int(0.2 * len(ranked))] or ranked
+            pick = c.top(cand, lambda n: sum(w not in seen for w in c.access.adj[n])) if cand else None
+        if not c.open:
+            break
+        seen = set(c.closed) | set(c.open)
+        target = max(members, key=lambda k: (len(members[k] - seen) / len(c.com), -k), default=None)
+        near = {n for n in c.open if any(w in members.get(target, ()) for w in c.access.adj[n])}
+        pick = c.top(near or c.open, lambda n: sum(w in members.get(target, ()) and w not in seen for w in c.access.adj[n]))
+
+
+def _man(c: Crawl, v: str, p: dict) -> str:
+    """Of the top fifth by observed degree, one of the top tenth by true degree that the cheap layer lacks, else of the
+    best by degree, clustering and cheap degree."""
+    ranked = sorted(c.open, key=lambda n: (-c.obs(n), n))
+    cand = ranked[: int(0.2 * len(ranked))] or ranked
+    absent = [n for n in sorted(cand, key=lambda n: (-c.deg(n), n))[: int(0.1 * len(cand))] if n not in c.cheap]
+    if absent:
+        return c.top(absent)
+    lo, hi = min(map(c.obs, ranked)), max(map(c.obs, ranked))
+    there = [c.cheap[n] for n in cand if n in c.cheap]
+    low, high = min(there, default=0), max(there, default=0)
+
+    def score(n: str) -> float:
+        own = 0.5 * ((c.obs(n) - lo) / (hi - lo) if hi > lo else c.obs(n)) * (1 - c.cc(n))
+        return own + (0.5 * ((c.cheap[n] - low) / (high - low)) ** 0.3 if n in c.cheap and high > low else 0.0)
+
+    return c.top(cand, score)
+
+
+def _learned(c: Crawl, v: str, budget: float, p: dict) -> None:
+    """The greatest observed degree up to a cost of 50 (half the budget, if that is less); then the open node that a
+    logistic regression over the queries so far (degree, clustering and neighbours' mean degree; new nodes over the median) likes
+    best."""
+    rows: list[list[float]] = []
+    gains: list[int] = []
+    features = lambda n: [1.0, math.log1p(c.obs(n)), c.cc(n), math.log1p(sum(map(c.obs, c.near[n])) / max(1, c.obs(n)))]
+    while v is not None and c.cost < budget:
+        rows.append(features(v))
+        gains.append(c.query(v))
+        if not c.open:
+            break
+        y = np.array(gains) > np.median(gains)
+        if c.cost <= min(50.0, budget / 2) or y.all() or not y.any():
+            v = c.top(c.open, c.obs)
+            continue
+        x, w = np.array(rows), np.zeros(4)
+        for _ in range(25):
+            q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            w -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.eye(4), x.T @ (q - y) + w)
+        v = c.top(c.open, lambda n: float(np.dot(features(n), w)))
+
+
 def _exp_den(c: Crawl, v: str, budget: float, p: dict) -> None:
-    """A seed walk, then expansion and densification in turns (``den`` falls under ``exp`` or a threshold)."""
-    _walk(c, v, min(budget, p.get("seed_budget", max(5.0, 0.15 * budget))), {})
+    """A seed walk (or G16: a queue; G15: an accepting walk), then expansion and densification in turns (``den`` falls under ``exp`` or a threshold)."""
+    first = {"bfs": _queue(False), "smooth": _seed_walk}.get(p.get("seed"), _walk)
+    took = first(c, v, min(budget, p.get("seed_budget", max(5.0, 0.15 * budget))), {})
     wanted = sum(1 for n in c.closed) / max(1e-9, sum(1 / max(1, c.obs(n)) for n in c.closed))
     weight = max(map(c.obs, c.closed)) / max(1.0, wanted)
+    if p.get("seed") == "smooth":
+        weight, wanted = calibrated_weight(c, took)
     den, exp = math.inf, 0.0
     while c.open and c.cost < budget:
         if p.get("eccentric"):
@@ -313,7 +417,7 @@ def _percentile(c: Crawl, v: str, budget: float, p: dict) -> None:
 def _skipping(c: Crawl, v: str, budget: float, p: dict) -> None:
     """H2-H5, H7: under incomplete access a node may be asked again; asks with low chance of news are skipped, five in a row at most."""
     last: dict[str, float] = {}
-    skips, rule = 0, p.get("next", lambda n: c.obs(n))
+    skips, rules = 0, p.get("next", lambda c: c.obs)
     for turn in range(int(20 * budget) + 20):
         if v is None or c.cost >= budget:
             break
@@ -330,9 +434,28 @@ def _skipping(c: Crawl, v: str, budget: float, p: dict) -> None:
             if c.obs(v) == d:
                 c.open.pop(v, None)
                 c.closed.setdefault(v, c.step)
-        v = min(c.open, key=lambda n: (-rule(n) if skips == 0 else 0, u_py(c.seed, turn + 1, n), n)) if c.open else None
+        near = [n for n in c.near[v] if n in c.open] if p.get("walk") else []
+        rule = rules(c) if skips == 0 else lambda n: 0
+        v = min(near or c.open, key=lambda n: (-rule(n), u_py(c.seed, turn + 1, n), n)) if c.open else None
+
+
+def _half_queue(c: Crawl):
+    """First found first, the drawn half of each answer before the rest."""
+    drawn = {n for step, own in c.found.items() for n in sorted(own, key=lambda n: (u_py(c.seed, step, n), n))[: math.ceil(len(own) / 2)]}
+    return lambda n: (1 << 40 if n in drawn else 0) - c.open[n]
 
 
+def _ranks(c: Crawl):
+    rank = sample_pagerank(c)
+    return lambda n: round(rank.get(n, 0.0), 9)
+
+
+#: H7: what a crawler prefers among the open nodes under incomplete access; ``rw`` moves to a neighbour.
+INCOMPLETE = {
+    "mod": lambda c: c.obs, "bfs": lambda c: lambda n: -c.open[n], "sb": _half_queue, "random": lambda c: lambda n: 0, "rw": lambda c: lambda n: 0,
+    "med": lambda c: lambda n: c.deg(n) - c.obs(n), "opic": lambda c: lambda n: c.opic[n], "pagerank": _ranks,
+}
+
 ALGORITHMS = {
     "bfs": (_queue(False), {}), "sb": (_queue(True), {}), "random": (_simple(lambda c, v, p: c.top(c.open)), {}), "rw": (_walk, {"mode": "any"}),
     "mod": (_simple(lambda c, v, p: c.top(c.open, c.obs)), {}), "med": (_simple(lambda c, v, p: c.top(c.open, lambda n: c.deg(n) - c.obs(n))), {}),
@@ -342,39 +465,56 @@ ALGORITHMS = {
     "escalating": (_exp_den, {"escalate": True}), "hybrid": (_hybrid, {}), "k_rank": (_simple(_k_rank), {}), "max_score": (_simple(_max_score), {}), "degree_gap": (_simple(_gap), {}), "quartile": (_simple(_quartile_arm), {}),
     "unobserved": (_simple(_likely), {}), "percentile": (_percentile, {}), "rw_teleport": (_walk, {"teleport": 0.1}), "rw_mixed": (_walk, {"greedy": 0.5}), "rw_clustered": (_walk, {"greedy": 1}),
     "ratio": (_simple(lambda c, v, p: c.top(c.open, lambda n: c.obs(n) / c.deg(n))), {}),
+    "seed_walk": (_seed_walk, {}), "random_exp": (_random_exp, {}), "oracle": (_oracle, {}), "man": (_simple(_man), {}), "learned": (_learned, {}),
+    "dense_ex_bfs": (_exp_den, {"eccentric": True, "seed": "bfs"}), "dense_ex_smooth": (_exp_den, {"eccentric": True, "seed": "smooth"}),
 }
 
 
-def run_one(adj: dict[str, list[str]], algo: str, trial: int, budget: float, seed: int, limit: int = 0, paged: bool = False, incomplete: bool = False) -> list[tuple]:
+def run_one(adj: dict[str, list[str]], algo: str, trial: int, budget: float, seed: int, limit: int = 0, paged: bool = False, incomplete: bool = False, com: dict[str, int] | None = None, cheap: dict[str, int] | None = None) -> list[tuple]:
     """One run; the runs of a trial share their start node."""
-    c = Crawl(Access(adj, limit, paged, seed), algo, trial, seed)
+    c = Crawl(Access(adj, limit, paged, seed), algo, trial, seed, com, cheap)
     start = min(adj, key=lambda n: (u_py(seed, 0, n), n))
     body, params = ALGORITHMS[algo]
     if incomplete:
-        rules = {"mod": c.obs, "bfs": lambda n: -c.open[n], "random": lambda n: 0, "med": lambda n: c.deg(n) - c.obs(n), "opic": lambda n: c.opic[n]}
-        if algo not in rules:
-            raise ValueError(f"{algo} has no rule for incomplete access: one of {', '.join(rules)}")
-        _skipping(c, start, budget, {"next": rules[algo]})
+        if algo not in INCOMPLETE:
+            raise ValueError(f"{algo} has no rule for incomplete access: one of {', '.join(INCOMPLETE)}")
+        _skipping(c, start, budget, {"next": INCOMPLETE[algo], "walk": algo == "rw"})
     else:
         body(c, start, budget, dict(params))
     return c.rows
 
 
-def crawl_all(edges: DataFrame, algos: list[str], trials: int, budget: float, seed: int = 1, limit: int = 0, paged: bool = False, incomplete: bool = False, max_edges: int = MAX_EDGES) -> DataFrame:
-    """The traces of algorithms by trials, one task a run. A trial's seed is shared by its algorithms."""
-    spark = edges.sparkSession
-    n = edges.limit(max_edges + 1).count()
-    if n > max_edges:
+def adjacency_of(edges: DataFrame, max_edges: int = MAX_EDGES) -> dict[str, list[str]]:
+    """The checked adjacency that is broadcast."""
+    if edges.limit(max_edges + 1).count() > max_edges:
         raise ValueError(f"over {max_edges} edges: use operators.crawl, which never holds the graph in one process")
     adj: dict[str, list[str]] = defaultdict(list)
-    for a, b in edges.select("src", "dst").toPandas().itertuples(index=False):
+    got = edges.select("src", "dst").toArrow()
+    for a, b in zip(got.column("src").to_pylist(), got.column("dst").to_pylist(), strict=True):
         adj[a].append(b)
         adj[b].append(a)
-    shared = spark.sparkContext.broadcast({k: sorted(v) for k, v in sorted(adj.items())})
+    return {k: sorted(v) for k, v in sorted(adj.items())}
+
+
+def mapping_of(table: DataFrame | None, adj: dict[str, list[str]]) -> dict:
+    """A table of a node's value as a mapping, for the nodes of the checked adjacency only."""
+    if table is None:
+        return {}
+    got = table.toArrow()
+    return {k: v for k, v in zip(*(got.column(i).to_pylist() for i in range(2)), strict=True) if k in adj}
+
+
+def crawl_all(edges: DataFrame, algos: list[str], trials: int, budget: float, seed: int = 1, limit: int = 0, paged: bool = False, incomplete: bool = False, max_edges: int = MAX_EDGES, com: DataFrame | None = None, cheap: DataFrame | None = None) -> DataFrame:
+    """The traces of algorithms by trials, one task a run. A trial's seed is shared by its algorithms. ``com(id, com)`` serves the
+    oracle, ``cheap(id, deg)`` the crawl that looks at a cheap layer."""
+    spark = edges.sparkSession
+    adj = adjacency_of(edges, max_edges)
+    shared = spark.sparkContext.broadcast((adj, mapping_of(com, adj), mapping_of(cheap, adj)))
     runs = spark.createDataFrame([(a, t) for a in algos for t in range(trials)], "algo string, trial int")
 
     def body(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = run_one(shared.value, key[0], int(key[1]), budget, seed + int(key[1]), limit, paged, incomplete) if shared.value else []
+        graph, partition, degree = shared.value
+        rows = run_one(graph, key[0], int(key[1]), budget, seed + int(key[1]), limit, paged, incomplete, partition, degree) if graph else []
         return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACE.split(", ")])
 
     return runs.repartition(min(len(algos) * trials, 200), "algo", "trial").groupBy("algo", "trial").applyInPandas(body, TRACE)

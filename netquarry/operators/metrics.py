@@ -150,11 +150,24 @@ def community_shares(edges: DataFrame, com: DataFrame) -> DataFrame:
     return adj.groupBy("id").agg(F.count("*").alias("deg"), (out / F.count("*")).alias("outside"), (1 - out / F.count("*")).alias("inside"), F.when(out > 0, 1).otherwise(0).alias("border"), (F.countDistinct("nc") / F.count("*")).alias("diversity"))
 
 
-def boundary_sharpness(edges: DataFrame, closed: DataFrame, node: str) -> DataFrame:
-    """Inner and outer edges of a closed set seen from its boundary, their ratio and the inner share."""
+def boundary_score(edges: DataFrame, closed: DataFrame) -> DataFrame:
+    """Of the edges at closed nodes with open neighbours, the number of distinct closed ends over the number of edges; 1
+    without a boundary."""
     own = closed.select("id")
-    adj = adjacency(edges).join(own, "id", "left_semi").join(own.select(F.col("id").alias("nbr"), F.lit(1).alias("in")), "nbr", "left")
-    total = adj.agg((F.sum(F.coalesce("in", F.lit(0))) / 2).alias("inner"), F.sum((F.col("in").isNull()).cast("int")).alias("outer"))
+    marked = adjacency(edges).join(own, "id", "left_semi").join(own.select(F.col("id").alias("nbr"), F.lit(1).alias("in")), "nbr", "left")
+    boundary = marked.where("in IS NULL").select("id").distinct()
+    at = marked.join(boundary, "id", "left_semi")
+    ends = at.where("in = 1").agg(F.countDistinct("nbr").alias("ends"))
+    links = at.select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct().agg(F.count("*").alias("links"))
+    return ends.crossJoin(links).select(F.expr("coalesce(try_divide(ends, links), 1.0)").alias("score"))
+
+
+def boundary_sharpness(edges: DataFrame, closed: DataFrame, node: str = "") -> DataFrame:
+    """Inner and outer edges of a closed set, and their ratio; of one of its nodes alone where ``node`` is given."""
+    own = closed.select("id")
+    adj = adjacency(edges)
+    adj = (adj.where(F.col("id") == node) if node else adj).join(own, "id", "left_semi").join(own.select(F.col("id").alias("nbr"), F.lit(1).alias("in")), "nbr", "left")
+    total = adj.agg((F.sum(F.coalesce("in", F.lit(0))) / (1 if node else 2)).alias("inner"), F.sum((F.col("in").isNull()).cast("int")).alias("outer"))
     return total.select(F.col("inner").cast("long").alias("inner"), F.col("outer"), F.expr("coalesce(try_divide(inner, outer), 1.0)").alias("local_r"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netquarry.functions.choice import u
 from netquarry.operators.metrics import local_clustering
 from netquarry.operators.prep import adjacency, degrees, induced
+from netquarry.operators.stats import ks_by_group, ks_two_sample
 
 
 def _first_shown(edges: DataFrame, orders: DataFrame) -> DataFrame:
@@ -36,15 +37,47 @@ def community_coverage(edges: DataFrame, orders: DataFrame, com: DataFrame) -> D
 
 
 def properties(edges: DataFrame, orders: DataFrame, every: int = 10) -> DataFrame:
-    """(run, step, nodes, mean_deg): the sample graph after every ``every`` steps, by prefix of first-shown edges."""
-    asked = orders.groupBy("run", "id").agg(F.min("step").alias("step"))
-    links = asked.join(adjacency(edges), "id").groupBy("run", F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).agg(F.min("step").alias("step"))
-    m = links.groupBy("run", "step").agg(F.count("*").alias("m"))
-    n = _first_shown(edges, orders).groupBy("run", "step").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    all_ = orders.select("run", "step").distinct().join(m, ["run", "step"], "left").join(n, ["run", "step"], "left")
-    cum = all_.select("run", "step", F.sum(F.coalesce("m", F.lit(0))).over(w).alias("m"), F.sum(F.coalesce("n", F.lit(0))).over(w).alias("nodes"))
-    return cum.where(F.col("step") % every == 0).select("run", "step", "nodes", (2 * F.col("m") / F.col("nodes")).alias("mean_deg"))
+    """The sample graph after every ``every`` steps: nodes, mean_deg, mean_cc and the two-sample test (d, p) of its degrees
+    against the graph's, for all its nodes and (with _c) for the queried ones alone.
+
+    I4: where both tables have a column ``graph``, every run is held against its own graph. Triangles are listed once a run,
+    with the step that completes them; the prefixes are counts of what is there by then.
+    """
+    g = ["graph"] if "graph" in edges.columns else []
+    run = [*g, "run"]
+    both = edges.select(*g, F.col("src").alias("id"), F.col("dst").alias("nbr")).union(edges.select(*g, F.col("dst").alias("id"), F.col("src").alias("nbr")))
+    asked = orders.groupBy(*run, "id").agg(F.min("step").alias("step"))
+    links = asked.join(both, [*g, "id"]).groupBy(*run, F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).agg(F.min("step").alias("step"))
+    marks = orders.where(F.col("step") % every == 0).select(*run, F.col("step").alias("mark")).distinct()
+    third = links.select(*run, "a", F.col("b").alias("c"), F.col("step").alias("s3"))
+    corner = links.join(links.select(*run, F.col("a").alias("b"), F.col("b").alias("c"), F.col("step").alias("s2")), [*run, "b"]).join(third, [*run, "a", "c"])
+    corner = corner.select(*run, F.explode(F.array("a", "b", "c")).alias("id"), F.greatest("step", "s2", "s3").alias("step"))
+    by = lambda rows, n: rows.join(marks, run).where("step <= mark").groupBy(*run, "mark", "id").agg(F.count("*").alias(n))
+    deg = by(links.select(*run, F.explode(F.array("a", "b")).alias("id"), "step"), "deg")
+    own = deg.join(by(corner, "tri"), [*run, "mark", "id"], "left").join(asked, [*run, "id"], "left")
+    own = own.withColumn("cc", F.when(F.col("deg") > 1, 2 * F.coalesce("tri", F.lit(0)) / (F.col("deg") * (F.col("deg") - 1))).otherwise(0.0)).withColumn("queried", F.coalesce(F.col("step") <= F.col("mark"), F.lit(False)))
+    own = own.select(*run, "mark", "deg", "cc", "queried")
+    queried = lambda c: F.when(F.col("queried"), F.col(c))
+    out = own.groupBy(*run, "mark").agg(
+        F.count("*").alias("nodes"), F.avg("deg").alias("mean_deg"), F.avg("cc").alias("mean_cc"),
+        F.count(queried("deg")).alias("closed"), F.avg(queried("deg")).alias("mean_deg_c"), F.avg(queried("cc")).alias("mean_cc_c"),
+    )
+    whole = both.groupBy(*g, "id").count().select(*g, F.col("count").alias("value"))
+    for rows, end in ((own, ""), (own.where("queried"), "_c")):
+        test = ks_by_group(rows.select(*run, "mark", F.col("deg").alias("value")), whole, [*run, "mark"], g)
+        out = out.join(test.select(*run, "mark", F.col("d").alias(f"d{end}"), F.col("p").alias(f"p{end}")), [*run, "mark"], "left")
+    return out.select(*run, F.col("mark").alias("step"), "nodes", "mean_deg", "mean_cc", "d", "p", "closed", "mean_deg_c", "mean_cc_c", "d_c", "p_c")
+
+
+def accumulated(traces: dict[str, DataFrame], interval: int = 10) -> DataFrame:
+    """Curves of several algorithms, one row for each algorithm, trial and multiple of the interval; traces(trial, cost, nodes,
+    edges). The last state at or before a mark counts."""
+    out = None
+    for algo, trace in traces.items():
+        mark = F.floor(F.col("cost") / interval) * interval
+        rows = trace.groupBy("trial", mark.cast("int").alias("budget")).agg(F.max("nodes").alias("nodes"), F.max("edges").alias("edges")).select(F.lit(algo).alias("algo"), "trial", "budget", "nodes", "edges")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def relabelled(orders: DataFrame, com: DataFrame) -> DataFrame:
@@ -79,6 +112,11 @@ def core_periphery(edges: DataFrame, core: int, seed: int, repeat: int) -> DataF
     return degrees(links).withColumnRenamed("deg", "observed").join(deg.withColumnRenamed("deg", "actual"), "id").where("observed <> actual")
 
 
-def sample_report(edges: DataFrame) -> DataFrame:
-    """Mean and median degree and mean clustering of a sample."""
-    return local_clustering(edges).agg(F.avg("deg").alias("mean_deg"), F.expr("percentile(deg, 0.5)").alias("median_deg"), F.avg("cc").alias("mean_cc"))
+def sample_report(sample: DataFrame, graph: DataFrame | None = None) -> DataFrame:
+    """Mean and median degree and mean clustering of a sample and, against its graph, the two-sample test of degrees (d, p)."""
+    own = local_clustering(sample)
+    out = own.agg(F.avg("deg").alias("mean_deg"), F.expr("percentile(deg, 0.5)").alias("median_deg"), F.avg("cc").alias("mean_cc"))
+    if graph is None:
+        return out
+    value = lambda d: d.select(F.col("deg").alias("value"))
+    return out.crossJoin(F.broadcast(ks_two_sample(value(own), value(degrees(graph)))))

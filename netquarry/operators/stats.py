@@ -26,6 +26,14 @@ def kendall_top(scores: DataFrame, share: float = 0.1) -> DataFrame:
     return s.select((F.expr("coalesce(try_divide(c, sqrt(double(nx)) * sqrt(double(ny))), 0.0)")).alias("tau"))
 
 
+def _ks_p(d: Column, na: Column, nb: Column) -> Column:
+    """The asymptotic series of the two-sample test."""
+    size = F.sqrt(na * nb / (na + nb))
+    lam = (size + 0.12 + 0.11 / size) * d
+    series = sum(((-1) ** (k - 1)) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 101))
+    return F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series)))
+
+
 def ks_two_sample(a: DataFrame, b: DataFrame) -> DataFrame:
     """(d, p) of value columns; cumulative counts run over the distinct values, p is the asymptotic series."""
     both = a.select("value", F.lit(1).alias("na"), F.lit(0).alias("nb")).union(b.select("value", F.lit(0), F.lit(1)))
@@ -34,10 +42,21 @@ def ks_two_sample(a: DataFrame, b: DataFrame) -> DataFrame:
     run = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     cdf = steps.select(F.sum("na").over(run).alias("ca"), F.sum("nb").over(run).alias("cb")).crossJoin(F.broadcast(total))
     d = cdf.agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("d"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
-    size = F.sqrt(F.col("ta") * F.col("tb") / (F.col("ta") + F.col("tb")))
-    lam = (size + 0.12 + 0.11 / size) * F.col("d")
-    series = sum(((-1) ** (k - 1)) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 101))
-    return d.select("d", F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series))).alias("p"))
+    return d.select("d", _ks_p(F.col("d"), F.col("ta"), F.col("tb")).alias("p"))
+
+
+def ks_by_group(samples: DataFrame, whole: DataFrame, keys: list[str], shared: list[str]) -> DataFrame:
+    """E3 for many samples(*keys, value) against whole(*shared, value), where ``shared`` are some of the keys."""
+    own = samples.groupBy(*keys, "value").agg(F.count("*").alias("na"))
+    rest = whole.groupBy(*shared, "value").agg(F.count("*").alias("nb"))
+    groups = samples.select(*keys).distinct()
+    rest = groups.join(rest, shared) if shared else groups.crossJoin(F.broadcast(rest))  # distinct values, not rows
+    steps = own.select(*keys, "value", "na", F.lit(0).cast("long").alias("nb")).union(rest.select(*keys, "value", F.lit(0).cast("long"), "nb")).groupBy(*keys, "value").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    every = Window.partitionBy(*keys)
+    run = every.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    cdf = steps.select(*keys, F.sum("na").over(run).alias("ca"), F.sum("nb").over(run).alias("cb"), F.sum("na").over(every).alias("ta"), F.sum("nb").over(every).alias("tb"))
+    d = cdf.groupBy(*keys).agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("d"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
+    return d.select(*keys, "d", _ks_p(F.col("d"), F.col("ta"), F.col("tb")).alias("p"))
 
 
 def percentile_of(scores: DataFrame, values: DataFrame) -> DataFrame:

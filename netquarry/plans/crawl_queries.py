@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netquarry.cluster import cut
 from netquarry.functions.choice import u_sql
-from netquarry.operators import access, community, crawl, grouped, learn, lfr, metrics, prep, replay, simulate, stats
+from netquarry.operators import access, community, crawl, grouped, learn, lfr, local, metrics, prep, replay, simulate, stats
 from netquarry.plans.graph_queries import ORACLES as _BASE
 from netquarry.plans.graph_queries import closed_of, partition_of, r6
 from netquarry.plans.sql import CLUSTERING, GRAPH, over
@@ -36,33 +36,55 @@ def one_run(s, seed=SEED):
 #: rule -> (order over o(id, obs, first, cash) and deg, restriction)
 _ORDER = {
     "random": "", "mod": "obs DESC,", "med": "deg - obs DESC,", "cheat": "deg DESC,", "ratio": "obs / CAST(deg AS DOUBLE) DESC,", "cash": "round(cash, 9) DESC,",
-    "bfs": f"first, {u_sql(SEED, 'first', 'o.id')},", "sb": f"first, {u_sql(SEED, 'first', 'o.id')},",
+    "opic": "round(opic, 9) DESC,", "bfs": f"first, {u_sql(SEED, 'first', 'o.id')},", "sb": f"first, {u_sql(SEED, 'first', 'o.id')},",
 }
 
 
-def crawl_sql(rule: str, steps: int = STEPS) -> str:
+def _chosen(rule: str, t: int, seed: int) -> tuple[str, str, str]:
+    """Tables, source of candidates and order of a rule's choice after step t."""
+    order, source, before = _ORDER.get(rule, ""), f"(SELECT o.*, deg FROM o{t} o JOIN deg USING (id)) o", ""
+    if rule == "k_rank":
+        ranked = f"SELECT o.*, deg, row_number() OVER (ORDER BY deg - obs DESC, {u_sql(seed, t, 'o.id')}, o.id) AS k, floor(count(*) OVER () * CAST(0.1 AS DOUBLE)) AS cut FROM o{t} o JOIN deg USING (id)"
+        source = f"(SELECT * FROM ({ranked}) WHERE k = 1 OR (cut > 2 AND k <= cut)) o"
+    elif rule == "degree_gap":
+        before = f",\nm{t} AS (SELECT avg(deg) AS mean FROM deg JOIN c{t} USING (id))"
+        order = f"obs < (SELECT mean FROM m{t}), obs - (SELECT mean FROM m{t}) DESC,"
+    elif rule == "max_score" and t > 10:
+        before = f",\nb{t} AS (SELECT DISTINCT nbr FROM adj WHERE id IN (SELECT id FROM c{t} JOIN deg USING (id) ORDER BY deg DESC, id LIMIT 10))"
+        order = f"o.id IN (SELECT nbr FROM b{t}) DESC,"
+    elif rule == "unobserved":
+        before = f",\nf{t} AS (SELECT id, count(*) AS fresh FROM adj WHERE id IN (SELECT id FROM o{t}) AND nbr NOT IN (SELECT id FROM c{t} UNION SELECT id FROM o{t}) GROUP BY id)"
+        source = f"(SELECT o.*, coalesce(fresh, 0) AS fresh FROM o{t} o LEFT JOIN f{t} USING (id)) o"
+        order = "fresh DESC,"
+    return before, source, order
+
+
+def crawl_sql(rule: str, steps: int = STEPS, seed: int = SEED) -> str:
     """The trace of one run, one table per step."""
-    out = [f",\nc1 AS MATERIALIZED (SELECT 1 AS step, id, CAST(0 AS BIGINT) AS obs FROM deg ORDER BY {u_sql(SEED, 0, 'id')}, id LIMIT 1)"]
+    out = [f",\nc1 AS MATERIALIZED (SELECT 1 AS step, id, CAST(0 AS BIGINT) AS obs, CAST(1 AS DOUBLE) AS opic FROM deg ORDER BY {u_sql(seed, 0, 'id')}, id LIMIT 1)"]
     for t in range(1, steps):
-        out.append(f",\no{t} AS MATERIALIZED (SELECT nbr AS id, count(*) AS obs, min(step) AS first, 1 + sum(1.0 / d.deg) AS cash FROM adj JOIN c{t} ON adj.id = c{t}.id JOIN deg d ON d.id = adj.id WHERE nbr NOT IN (SELECT id FROM c{t}) GROUP BY nbr)")
+        out.append(f",\no{t} AS MATERIALIZED (SELECT nbr AS id, count(*) AS obs, min(step) AS first, 1 + sum(1.0 / d.deg) AS cash, 1 + sum(c{t}.opic / d.deg) AS opic FROM adj JOIN c{t} ON adj.id = c{t}.id JOIN deg d ON d.id = adj.id WHERE nbr NOT IN (SELECT id FROM c{t}) GROUP BY nbr)")
         queued = ""
         if rule == "sb":
             # A node was queued by the step that found it, if it was in the first half of that answer's new nodes.
-            out.append(f",\nh{t} AS MATERIALIZED (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY {u_sql(SEED, t, 'id')}, id) AS k, count(*) OVER () AS n FROM o{t} WHERE first = {t}) WHERE k <= ceil(n / 2.0)" + (f" UNION ALL SELECT id FROM h{t - 1}" if t > 1 else "") + ")")
+            out.append(f",\nh{t} AS MATERIALIZED (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY {u_sql(seed, t, 'id')}, id) AS k, count(*) OVER () AS n FROM o{t} WHERE first = {t}) WHERE k <= ceil(n / 2.0)" + (f" UNION ALL SELECT id FROM h{t - 1}" if t > 1 else "") + ")")
             queued = f"WHERE o.id IN (SELECT id FROM h{t})"
-        out.append(f",\nc{t + 1} AS MATERIALIZED (SELECT * FROM c{t} UNION ALL (SELECT {t + 1}, o.id, o.obs FROM o{t} o JOIN deg ON deg.id = o.id {queued} ORDER BY {_ORDER[rule]} {u_sql(SEED, t, 'o.id')}, o.id LIMIT 1))")
+        before, source, order = _chosen(rule, t, seed)
+        out.append(before + f",\nc{t + 1} AS MATERIALIZED (SELECT * FROM c{t} UNION ALL (SELECT {t + 1}, o.id, o.obs, o.opic FROM {source} {queued} ORDER BY {order} {u_sql(seed, t, 'o.id')}, o.id LIMIT 1))")
     out.append(f",\nshown AS (SELECT id, min(step) AS step FROM (SELECT id, step FROM c{steps} UNION ALL SELECT nbr, step FROM adj JOIN c{steps} c ON c.id = adj.id) GROUP BY id)")
     out.append(f",\nlinks AS (SELECT least(adj.id, nbr) AS a, greatest(adj.id, nbr) AS b, min(step) AS step FROM adj JOIN c{steps} c ON c.id = adj.id GROUP BY ALL)")
     then = f"SELECT 'r' AS run, CAST(step AS INTEGER) AS step, id, obs, (SELECT count(*) FROM shown s WHERE s.step <= c.step) AS nodes, (SELECT count(*) FROM links l WHERE l.step <= c.step) AS edges FROM c{steps} c"
     return over(GRAPH, *out, then=then)
 
 
-def _traced(rule):
-    return lambda s, d: crawl.crawl(graph(s, d), one_run(s), rule, STEPS)
+def _traced(rule, steps=STEPS):
+    return lambda s, d: crawl.crawl(graph(s, d), one_run(s), rule, steps)
 
 
 for _rule, _name in (("bfs", "bfs_trace"), ("sb", "snowball_trace"), ("random", "random_trace"), ("mod", "mod_trace"), ("med", "med_trace"), ("cash", "cash_trace"), ("cheat", "cheat_trace"), ("ratio", "ratio_trace")):
     add(_traced(_rule), crawl_sql(_rule), _name)
+for _rule, _steps in (("opic", STEPS), ("k_rank", STEPS), ("degree_gap", STEPS), ("max_score", 13), ("unobserved", STEPS)):
+    add(_traced(_rule, _steps), crawl_sql(_rule, _steps), f"{_rule}_trace")
 
 
 def walk_sql(hops: int = 6) -> str:
@@ -167,6 +189,10 @@ add(lambda s, d: r6(crawl.densification_score(_scored(s, d)).select("run", "step
 add(lambda s, d: r6(crawl.expansion_score(_scored(s, d)).select("run", "step", "score")), _score_sql("deg - new - obs"), "exp_scores")
 
 
+def ks_degree_p_sql() -> str:
+    return over(GRAPH, then="WITH c AS (SELECT deg FROM deg WHERE id IN (SELECT id FROM shut)), x AS (SELECT max(abs((SELECT avg(CASE WHEN deg <= v THEN 1.0 ELSE 0.0 END) FROM c) - (SELECT avg(CASE WHEN deg <= v THEN 1.0 ELSE 0.0 END) FROM deg))) AS d, (SELECT count(*) FROM c) AS n FROM (SELECT DISTINCT deg AS v FROM deg)) SELECT round(d, 6) AS d, round(" + _SERIES.format(d="d", n="n", m="(SELECT n FROM nm)") + ", 6) AS p FROM x")
+
+
 def window_yield(s, d):
     return crawl.window_yield(crawl.crawl(graph(s, d), one_run(s), "mod", STEPS).select("run", "step", "nodes"), 2)
 
@@ -223,7 +249,33 @@ def _orders(e):
 
 add(lambda s, d: replay.new_nodes((e := graph(s, d)), _orders(e), 5), over(GRAPH, _ORDERS, then="SELECT run, step, (SELECT count(*) FROM shown s WHERE s.run = o.run AND s.step = o.step) AS new FROM ord o WHERE step % 5 = 0"), "replay_new_nodes")
 add(lambda s, d: r6(replay.community_coverage((e := graph(s, d)), _orders(e), partition_of(e))), over(GRAPH, _ORDERS, then="SELECT o.run, o.step, p.com, round((SELECT count(*) FROM shown s JOIN part q ON q.id = s.id WHERE s.run = o.run AND q.com = p.com AND s.step <= o.step) / CAST((SELECT count(*) FROM part q WHERE q.com = p.com) AS DOUBLE), 6) AS coverage FROM ord o JOIN part p USING (id)"), "replay_coverage")
-add(lambda s, d: r6(replay.properties((e := graph(s, d)), _orders(e), 5)), over(GRAPH, _ORDERS, then="WITH l AS (SELECT run, least(id, nbr) AS a, greatest(id, nbr) AS b, min(step) AS step FROM ord JOIN adj USING (id) GROUP BY ALL) SELECT run, step, (SELECT count(*) FROM shown s WHERE s.run = o.run AND s.step <= o.step) AS nodes, round(2.0 * (SELECT count(*) FROM l WHERE l.run = o.run AND l.step <= o.step) / (SELECT count(*) FROM shown s WHERE s.run = o.run AND s.step <= o.step), 6) AS mean_deg FROM ord o WHERE step % 5 = 0"), "replay_properties")
+#: The asymptotic series of the two-sample test with sizes n and m.
+_SERIES = "(SELECT CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * lam * lam))))) END FROM (SELECT (s + 0.12 + 0.11 / s) * {d} AS lam FROM (SELECT sqrt({n} * {m} / CAST({n} + {m} AS DOUBLE)) AS s)))"
+_PREFIXES = """WITH l AS (SELECT run, least(id, nbr) AS a, greatest(id, nbr) AS b, min(step) AS step FROM ord JOIN adj USING (id) GROUP BY ALL),
+mk AS (SELECT DISTINCT run, step AS mark FROM ord WHERE step % 5 = 0),
+lm AS MATERIALIZED (SELECT l.run, mark, a, b FROM l JOIN mk ON mk.run = l.run AND l.step <= mark),
+dn AS (SELECT run, mark, id, count(*) AS d FROM (SELECT run, mark, a AS id FROM lm UNION ALL SELECT run, mark, b FROM lm) GROUP BY ALL),
+tr AS (SELECT x.run, x.mark, x.a AS p, x.b AS q, y.b AS r FROM lm x JOIN lm y ON x.run = y.run AND x.mark = y.mark AND x.b = y.a JOIN lm z ON z.run = x.run AND z.mark = x.mark AND z.a = x.a AND z.b = y.b),
+tn AS (SELECT run, mark, id, count(*) AS t FROM (SELECT run, mark, p AS id FROM tr UNION ALL SELECT run, mark, q FROM tr UNION ALL SELECT run, mark, r FROM tr) GROUP BY ALL),
+nd AS MATERIALIZED (SELECT dn.run, dn.mark, dn.id, d, CASE WHEN d > 1 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) ELSE 0.0 END AS cc, coalesce(o.step <= dn.mark, false) AS shut_ FROM dn LEFT JOIN tn USING (run, mark, id) LEFT JOIN ord o ON o.run = dn.run AND o.id = dn.id),
+v AS (SELECT d AS v FROM nd UNION SELECT deg FROM deg),
+k AS (SELECT run, mark, v, avg(CASE WHEN d <= v THEN 1.0 ELSE 0.0 END) AS f, avg(CASE WHEN d <= v THEN 1.0 ELSE 0.0 END) FILTER (shut_) AS fc FROM nd, v GROUP BY ALL),
+g AS (SELECT v, avg(CASE WHEN deg <= v THEN 1.0 ELSE 0.0 END) AS f0 FROM deg, v GROUP BY v),
+ks AS (SELECT run, mark, max(abs(f - f0)) AS d, max(abs(fc - f0)) AS d_c FROM k JOIN g USING (v) GROUP BY run, mark),
+pr AS (SELECT run, mark, count(*) AS nodes, avg(d) AS mean_deg, avg(cc) AS mean_cc, count(*) FILTER (shut_) AS closed, avg(d) FILTER (shut_) AS mean_deg_c, avg(cc) FILTER (shut_) AS mean_cc_c FROM nd GROUP BY run, mark)
+SELECT run, mark AS step, nodes, round(mean_deg, 6) AS mean_deg, round(mean_cc, 6) AS mean_cc, round(d, 6) AS d, round(""" + _SERIES.format(d="d", n="nodes", m="(SELECT n FROM nm)") + """, 6) AS p,
+  closed, round(mean_deg_c, 6) AS mean_deg_c, round(mean_cc_c, 6) AS mean_cc_c, round(d_c, 6) AS d_c, round(""" + _SERIES.format(d="d_c", n="closed", m="(SELECT n FROM nm)") + """, 6) AS p_c FROM pr JOIN ks USING (run, mark)"""
+ORACLES["ks_degree_p"] = ks_degree_p_sql()
+add(lambda s, d: r6(replay.properties((e := graph(s, d)), _orders(e), 5)), over(GRAPH, _ORDERS, then=_PREFIXES), "replay_properties")
+
+
+def replay_properties_by_graph(s, d):
+    """I4: each run against its own graph (the first two layers)."""
+    e = cut(graphs.layers(s, d).where("layer < 2").select(F.col("layer").alias("graph"), "src", "dst"))
+    return r6(replay.properties(e, _orders(e.select("src", "dst").distinct()).withColumn("graph", F.col("run")), 25).select("graph", "run", "step", "nodes", "mean_deg", "closed"))
+
+
+add(replay_properties_by_graph, over(GRAPH, ",\nboth_ AS (SELECT layer AS graph, src AS id, dst AS nbr FROM pl WHERE layer < 2 UNION ALL SELECT layer, dst, src FROM pl WHERE layer < 2),\nord AS (SELECT CAST(CAST(id AS BIGINT) % 2 AS INTEGER) AS run, CAST(row_number() OVER (PARTITION BY CAST(id AS BIGINT) % 2 ORDER BY CAST(id AS BIGINT)) - 1 AS INTEGER) AS step, id FROM (SELECT DISTINCT id FROM both_))", then="WITH l AS (SELECT run, least(o.id, nbr) AS a, greatest(o.id, nbr) AS b, min(step) AS step FROM ord o JOIN both_ b ON b.graph = o.run AND b.id = o.id GROUP BY ALL), mk AS (SELECT DISTINCT run, step AS mark FROM ord WHERE step % 25 = 0), dn AS (SELECT run, mark, id, count(*) AS d FROM (SELECT l.run, mark, unnest([a, b]) AS id FROM l JOIN mk ON mk.run = l.run AND l.step <= mark) GROUP BY ALL) SELECT CAST(dn.run AS INTEGER) AS graph, dn.run, mark AS step, count(*) AS nodes, round(avg(d), 6) AS mean_deg, count(*) FILTER (o.step <= mark) AS closed FROM dn LEFT JOIN ord o ON o.run = dn.run AND o.id = dn.id GROUP BY dn.run, mark"))
 add(lambda s, d: replay.relabelled(_orders((e := graph(s, d))), partition_of(e)), over(GRAPH, _ORDERS, then="SELECT run, com, CAST(row_number() OVER (PARTITION BY run ORDER BY first) AS INTEGER) AS label FROM (SELECT run, com, min(step) AS first FROM ord JOIN part USING (id) GROUP BY run, com)"), "label_reorder")
 add(lambda s, d: replay.small_sample((e := graph(s, d)), _orders(e).where("run = 0 AND step < 40")), over(GRAPH, _ORDERS, then="SELECT src, dst FROM e WHERE src IN (SELECT id FROM ord WHERE run = 0 AND step < 40) AND dst IN (SELECT id FROM ord WHERE run = 0 AND step < 40)"), "small_sample")
 
@@ -243,7 +295,7 @@ def core_periphery_tau(s, d):
 
 
 add(core_periphery_tau, over(GRAPH, then=f"WITH k AS (SELECT id FROM deg ORDER BY {u_sql(3, 0, 'id')}, id LIMIT 10), l AS (SELECT DISTINCT least(id, nbr) AS a, greatest(id, nbr) AS b FROM adj WHERE id IN (SELECT id FROM k)), o AS (SELECT id, count(*) AS obs FROM (SELECT a AS id FROM l UNION ALL SELECT b FROM l) GROUP BY id), x AS (SELECT id, deg AS x, obs AS y FROM o JOIN deg USING (id) WHERE obs <> deg), t AS (SELECT * FROM x ORDER BY x DESC, id LIMIT (SELECT CAST(floor(count(*) * 0.5) AS BIGINT) + 1 FROM x)) SELECT round(coalesce(sum(sign(a.x - b.x) * sign(a.y - b.y)) / nullif(sqrt(count(*) FILTER (a.x <> b.x)) * sqrt(count(*) FILTER (a.y <> b.y)), 0), 0.0), 6) AS tau FROM t a JOIN t b ON a.id < b.id"))
-add(lambda s, d: r6(replay.sample_report(prep.induced((e := graph(s, d)), closed_of(e)))), over(GRAPH, then="WITH i AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM shut) AND dst IN (SELECT id FROM shut)), a AS (SELECT src AS id, dst AS nbr FROM i UNION ALL SELECT dst, src FROM i), g AS (SELECT id, count(*) AS d FROM a GROUP BY id), t AS (SELECT x.id, count(*) AS t2 FROM a x JOIN a y ON x.nbr = y.id JOIN a z ON z.id = y.nbr AND z.nbr = x.id GROUP BY x.id) SELECT round(avg(d), 6) AS mean_deg, round(median(d), 6) AS median_deg, round(avg(CASE WHEN d > 1 THEN coalesce(t2, 0) / CAST(d * (d - 1) AS DOUBLE) ELSE 0 END), 6) AS mean_cc FROM g LEFT JOIN t USING (id)"), "sample_report")
+add(lambda s, d: r6(replay.sample_report(prep.induced((e := graph(s, d)), closed_of(e)), e)), over(GRAPH, then="WITH i AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM shut) AND dst IN (SELECT id FROM shut)), a AS (SELECT src AS id, dst AS nbr FROM i UNION ALL SELECT dst, src FROM i), g AS (SELECT id, count(*) AS d FROM a GROUP BY id), t AS (SELECT x.id, count(*) AS t2 FROM a x JOIN a y ON x.nbr = y.id JOIN a z ON z.id = y.nbr AND z.nbr = x.id GROUP BY x.id), v AS (SELECT d AS v FROM g UNION SELECT deg FROM deg), ks AS (SELECT max(abs((SELECT avg(CASE WHEN d <= v THEN 1.0 ELSE 0.0 END) FROM g) - (SELECT avg(CASE WHEN deg <= v THEN 1.0 ELSE 0.0 END) FROM deg))) AS d, (SELECT count(*) FROM g) AS n FROM v), r AS (SELECT round(avg(d), 6) AS mean_deg, round(median(d), 6) AS median_deg, round(avg(CASE WHEN d > 1 THEN coalesce(t2, 0) / CAST(d * (d - 1) AS DOUBLE) ELSE 0 END), 6) AS mean_cc FROM g LEFT JOIN t USING (id)) SELECT r.*, round(d, 6) AS d, round(" + _SERIES.format(d="d", n="n", m="(SELECT n FROM nm)") + ", 6) AS p FROM r, ks"), "sample_report")
 
 # --- simulation, generators, learning --------------------------------------------------------------------------------
 
@@ -269,7 +321,9 @@ def rewire_cc(s, d):
 add(rewire_cc)
 add(lambda s, d: lfr.graphs(s, 2, lfr.Parameters(n=250, mean_degree=10, max_degree=25, min_size=20, max_size=60)), None, "lfr")
 add(lambda s, d: simulate.lfr_histograms((e := graph(s, d)), partition_of(e)), over(GRAPH, then="WITH x AS (SELECT adj.id, avg(CASE WHEN p.com <> q.com THEN 1.0 ELSE 0.0 END) AS mu FROM adj JOIN part p ON p.id = adj.id JOIN part q ON q.id = adj.nbr GROUP BY adj.id) SELECT 'mixing' AS kind, CAST(floor(round(mu * 20 / 1.1, 9)) AS BIGINT) AS bin, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 'size', bin, count(*) FROM (SELECT com, count(*) AS bin FROM part GROUP BY com) GROUP BY bin"), "lfr_histograms")
-add(lambda s, d: lfr.internal_degrees(lfr.power_law_draws(s, 500, 3, 30, 2.0), 0.3), None, "power_law_degrees")
+_LAW = ", ".join(f"CAST({round(float(x), 12)!r} AS DOUBLE)" for x in lfr.power_law(3, 30, 2.0))
+_INNER = "CAST(0.7 AS DOUBLE) * k"
+add(lambda s, d: lfr.internal_degrees(lfr.power_law_draws(s, 500, 3, 30, 2.0), 0.3), f"SELECT id, k, CAST(floor({_INNER}) + CASE WHEN {u_sql(1, 1, 'id')} < {_INNER} - floor({_INNER}) THEN 1 ELSE 0 END AS INTEGER) AS inner FROM (SELECT id, CAST(least(len(list_filter([{_LAW}], lambda c: c < {u_sql(1, 0, 'id')})) + 3, 30) AS INTEGER) AS k FROM range(500) x(id))", "power_law_degrees")
 add(lambda s, d: r6(learn.scaled_features(graph(s, d))), over(_BASE["node_features"].removeprefix("WITH ").rpartition("\nSELECT ")[0], ",\nnf AS (SELECT " + _BASE["node_features"].rpartition("\nSELECT ")[2].replace("round(cc, 6)", "cc").replace("round(nd, 6)", "nd").replace("round(nc, 6)", "nc").replace("round(cc.deg / (n - 1.0), 6)", "cc.deg / (n - 1.0)").replace("round(rank, 6)", "rank") + ")", then="SELECT id, " + ", ".join(f"round(({c} - min({c}) OVER ()) / CAST(nullif(max({c}) OVER () - min({c}) OVER (), 0) AS DOUBLE), 6) AS {c}" for c in learn.FEATURES) + " FROM nf"), "feature_minmax")
 
 
@@ -299,23 +353,84 @@ def sub_communities(s, d):
 
 
 def multi_layer_community(s, d):
-    """The seeds of G41: the PageRank head of every cheap community, and the heads' neighbours with the number of heads.
-
-    The choice of communities next to a start, the budget of each seed and the R-growth are not implemented.
-    """
+    """From a start, the PageRank heads of the cheap communities next to its own are seeds; each grows the sample by observed
+    over true degree for a budget of 10; then the start's community grows while its sharpness does."""
     layers = cut(graphs.layers(s, d))
     cheap = layers.where("layer = 1").select("src", "dst")
-    com = community.best_partition(community.louvain(cheap, levels=2))
-    rank = metrics.pagerank(cheap, 10).join(com, "id")
-    heads = rank.groupBy("com").agg(F.max(F.struct(F.round("rank", 9).alias("rank"), "id")).alias("h")).select("h.id")
+    com = cut(community.best_partition(community.louvain(cheap, levels=2)))
+    rank = metrics.pagerank(cheap, 10)
     expensive = layers.where("layer = 0").select("src", "dst")
-    local = access.neighbours(expensive, heads).groupBy("nbr").agg(F.count("*").alias("heads"))
-    return local.select(F.col("nbr").alias("id"), "heads")
+    return r6(local.report(local.communities(expensive, partition_of(expensive), "layers", 2, cheap=cheap, cheap_com=com, cheap_rank=rank)))
+
+
+def local_communities(method):
+    def run(s, d):
+        layers = cut(graphs.layers(s, d))
+        expensive = layers.where("layer = 0").select("src", "dst")
+        return r6(local.report(local.communities(expensive, partition_of(expensive), method, 2, cheap=layers.where("layer = 1").select("src", "dst"))))
+
+    return run
 
 
 for _f in (border_knn, border_logreg, sub_communities, multi_layer_community):
     add(_f)
+add(local_communities("mutual"), None, "mutual_community")
+add(local_communities("overlap"), None, "overlap_community")
+
+
+def _with_help(algo):
+    """Crawls that look at more than the graph: a partition (oracle) or a cheap layer (man)."""
+
+    def run(s, d):
+        layers = cut(graphs.layers(s, d))
+        e = layers.where("layer = 0").select("src", "dst")
+        return r6(grouped.crawl_all(e, [algo], 2, tenth(e), com=partition_of(e), cheap=prep.degrees(layers.where("layer = 1").select("src", "dst"))))
+
+    return run
+
+
+add(_with_help("oracle"), None, "crawl_oracle")
+add(_with_help("man"), None, "crawl_man")
+add(_grouped(["learned", "random_exp", "seed_walk", "dense_ex_bfs", "dense_ex_smooth"], 1), None, "crawl_further")
+add(_grouped(["sb", "rw", "pagerank"], limit=5, incomplete=True), None, "incomplete_more")
+
+
+def accumulated_results(s, d):
+    """Curves of two algorithms over two trials, side by side."""
+    e = graph(s, d)
+    runs = s.createDataFrame([(str(t), t) for t in (1, 2)], "run string, seed int")
+    traces = {a: crawl.crawl(e, runs, a, STEPS).select(F.col("run").alias("trial"), F.col("step").alias("cost"), "nodes", "edges") for a in ("mod", "random")}
+    return replay.accumulated(traces, 2)
+
+
+def _accumulated_sql() -> str:
+    parts = []
+    for a in ("mod", "random"):
+        for t in (1, 2):
+            body = crawl_sql(a, seed=t).rpartition("\nSELECT 'r' AS run")
+            parts.append(f"SELECT '{a}' AS algo, '{t}' AS trial, CAST(step // 2 * 2 AS INTEGER) AS budget, max(nodes) AS nodes, max(edges) AS edges FROM ({body[0]}\nSELECT 'r' AS run{body[2]}) GROUP BY ALL")
+    return "\nUNION ALL\n".join(parts)
+
+
+add(accumulated_results, _accumulated_sql())
+
+
+def random_in_largest(s, d):
+    """C7 over the given partition."""
+    e = graph(s, d)
+    return access.random_in_largest(e, partition_of(e), SEED)
+
+
+add(random_in_largest, over(GRAPH, then=f"WITH big AS (SELECT com FROM part GROUP BY com ORDER BY count(*) DESC, com LIMIT 1), m AS (SELECT id, deg, row_number() OVER (ORDER BY deg DESC, id) AS k, count(*) OVER () AS n FROM part JOIN deg USING (id) WHERE com = (SELECT com FROM big)) SELECT id FROM m WHERE k <= greatest(1, floor(n * 0.5)) ORDER BY {u_sql(SEED, 0, 'id')}, id LIMIT 1"))
+
+
+def boundary_score(s, d):
+    """Of a closed set and its boundary."""
+    e = graph(s, d)
+    return r6(metrics.boundary_score(e, closed_of(e)))
+
 
+add(boundary_score, over(GRAPH, then="WITH b AS (SELECT DISTINCT id FROM adj WHERE id IN (SELECT id FROM shut) AND nbr NOT IN (SELECT id FROM shut)), x AS (SELECT least(id, nbr) AS p, greatest(id, nbr) AS q, id, nbr FROM adj WHERE id IN (SELECT id FROM b)) SELECT round(count(DISTINCT CASE WHEN nbr IN (SELECT id FROM shut) THEN nbr END) / CAST(count(DISTINCT (p, q)) AS DOUBLE), 6) AS score FROM x"))
 
 
 def bounded_bfs(s, d):

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from netquarry.cluster import ship
-from netquarry.plans import crawl_queries, graph_queries
+from netquarry.plans import crawl_queries, graph_queries, source_queries
 
-_PARTS = [graph_queries, crawl_queries]
+_PARTS = [graph_queries, crawl_queries, source_queries]
 
 
 def _shipped(f):

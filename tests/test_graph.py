@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netquarry.functions.choice import u, u_py
-from netquarry.operators import access, community, crawl, grouped, learn, lfr, metrics, prep, replay, simulate, stats
+from netquarry.operators import access, community, crawl, grouped, learn, lfr, local, metrics, prep, replay, simulate, stats
 from netquarry.sources import readers, sinks
 from netquarry.sources.graphs import canonical
 
@@ -80,7 +80,7 @@ def test_opic_cash_after_one_query():
     assert (c.opic["a"], c.opic["b"], c.opic["c"]) == (0.0, 1.5, 1.5)
 
 
-@pytest.mark.parametrize("rule", ["random", "mod", "med", "cash", "bfs", "sb", "cheat"])
+@pytest.mark.parametrize("rule", ["random", "mod", "med", "cash", "bfs", "sb", "cheat", "opic", "k_rank", "degree_gap", "unobserved"])
 def test_both_executors_agree(spark, rule):
     import random
 
@@ -257,5 +257,44 @@ def test_expansion_considers_every_open_node():
 def test_incomplete_access_refuses_crawlers_without_a_rule():
     adj = {"a": ["b"], "b": ["a"]}
     assert grouped.run_one(adj, "mod", 0, 2.0, 1, 5, incomplete=True)
-    with pytest.raises(ValueError, match="pagerank"):
-        grouped.run_one(adj, "pagerank", 0, 2.0, 1, 5, incomplete=True)
+    with pytest.raises(ValueError, match="vmab"):
+        grouped.run_one(adj, "vmab", 0, 2.0, 1, 5, incomplete=True)
+    for algo in grouped.INCOMPLETE:
+        rows = grouped.run_one(adj, algo, 0, 2.0, 1, 5, incomplete=True)
+        assert rows and rows[-1][3] <= 2
+
+
+def test_helped_crawls_use_their_help():
+    rng = random.Random(8)
+    adj = {}
+    for i in range(120):
+        for j in {rng.randrange(120) for _ in range(4)} | {(i + 2) % 120}:
+            if i % 2 == j % 2 or rng.random() < 0.1:
+                if i != j:
+                    adj.setdefault(str(i), set()).add(str(j))
+                    adj.setdefault(str(j), set()).add(str(i))
+    adj = {k: sorted(v) for k, v in adj.items()}
+    com, cheap = {n: int(n) % 2 for n in adj}, {n: len(v) for n, v in adj.items() if int(n) % 3}
+    for algo in ("oracle", "man"):
+        rows = grouped.run_one(adj, algo, 0, 20, 1, com=com, cheap=cheap)
+        assert len(rows) == 20 and rows == grouped.run_one(adj, algo, 0, 20, 1, com=com, cheap=cheap)
+    weight, mean = grouped.calibrated_weight(c := grouped.Crawl(grouped.Access(adj), "x", 0, 1), grouped._seed_walk(c, "0", 10, {}))
+    assert mean >= 1 and weight == max(map(c.obs, c.closed)) / mean
+
+
+def test_local_communities_find_a_clique(spark):
+    inside = [(f"{c}{i}", f"{c}{j}") for c in "ab" for i in range(6) for j in range(i)]
+    e = canonical(spark.createDataFrame([*inside, ("a0", "b0"), ("b1", "z")], "src string, dst string"))
+    com = spark.createDataFrame([(f"{c}{i}", int(c == "b")) for c in "ab" for i in range(6)] + [("z", 2)], "id string, com int")
+    for method, kw in (("mutual", {}), ("overlap", {"cheap": e}), ("layers", {"cheap": e, "cheap_com": com, "cheap_rank": metrics.pagerank(e, 5)})):
+        out = {r.com: r for r in local.report(local.communities(e, com.where("com < 2"), method, 1, budget=6.0, **kw)).collect()}
+        assert set(out) == {0, 1} and all(0 < r.precision <= 1 and 0 < r.recall <= 1 for r in out.values()) and out[0].recall >= 0.5
+
+
+def test_trajectories_by_hand(spark):
+    e = toy(spark, "bridge")  # ab ac bc cd de df ef
+    orders = spark.createDataFrame([("r", 0, "c"), ("r", 1, "a")], "run string, step int, id string")
+    rows = {r.step: r for r in replay.properties(e, orders, 1).collect()}
+    assert (rows[0].nodes, rows[0].closed, rows[0].mean_deg, rows[0].mean_cc, rows[0].mean_deg_c) == (4, 1, 1.5, 0.0, 3.0)
+    assert (rows[1].nodes, rows[1].closed, rows[1].mean_deg, rows[1].mean_deg_c) == (4, 2, 2.0, 2.5)
+    assert math.isclose(rows[1].mean_cc, (1 + 1 + 1 / 3 + 0) / 4) and 0 < rows[1].d <= 1 and 0 <= rows[1].p <= 1
