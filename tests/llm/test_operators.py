@@ -54,6 +54,20 @@ def test_subwords_equal_the_tokenizer():
     assert all(ids[bounds[i] : bounds[i + 1]].tolist() == want[i].ids for i in range(len(texts)))
 
 
+def test_a_full_chunk_cache_changes_no_ids(monkeypatch):
+    from netquarry.llm import _tokens
+
+    monkeypatch.setattr(_tokens, "CACHED", 60)
+    monkeypatch.setattr(_tokens, "PIECES", 20)
+    rng = random.Random(2)
+    s = Subwords(_tokens.vocabulary_path())
+    for _ in range(30):
+        texts = [prose(rng, 40, 500) + ", ünï-cödé " + str(rng.randrange(10**9)) for _ in range(4)]
+        ids, bounds = s.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [e.ids for e in s.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(s.index) < 400
+
+
 def test_packing_places_every_id_once(spark):
     rng = random.Random(1)
     texts = [*ODD, *(prose(rng, rng.randrange(1, 900)) + "." for _ in range(60)), "same text", "same text"]
