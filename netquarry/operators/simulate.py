@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.cluster import cut
-from netquarry.functions.choice import u
+from netquarry.functions.choice import u, u_py
 from netquarry.operators.metrics import average_clustering
 from netquarry.operators.prep import adjacency, vertices
 
@@ -32,10 +35,23 @@ def sir(edges: DataFrame, infected: DataFrame, rounds: int, seed: int = 1, beta:
 
 
 def random_graph(spark: SparkSession, n: int, p: float, seed: int = 1, blocks: int = 64) -> DataFrame:
-    """G(n, p) by one draw for each pair; the pairs of a node are generated in its own task's rows."""
-    left = spark.range(n, numPartitions=min(blocks, max(1, n)))
-    pairs = left.where(F.col("id") < n - 1).select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1))).alias("b"))
-    return pairs.where(u(seed, 0, F.concat_ws("-", "a", "b")) < p).select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"))
+    """G(n, p) by geometric skips: from each node, draw k skips to its k-th greater neighbour, so the work follows the links."""
+
+    def run(batches):
+        for batch in batches:
+            src, dst = [], []
+            for a in batch.column(0).to_pylist():
+                b, k = a, 0
+                while p > 0:
+                    b += 1 + (0 if p >= 1 else math.floor(math.log(1 - u_py(seed, k, str(a))) / math.log(1 - p)))
+                    if b >= n:
+                        break
+                    src.append(str(a))
+                    dst.append(str(b))
+                    k += 1
+            yield pa.record_batch([pa.array(src, pa.string()), pa.array(dst, pa.string())], names=["src", "dst"])
+
+    return spark.range(n, numPartitions=min(blocks, max(1, n))).mapInArrow(run, "src string, dst string")
 
 
 def reduce_clustering(edges: DataFrame, com: DataFrame, target: float, share: float = 0.1, rounds: int = 5, seed: int = 1) -> DataFrame:

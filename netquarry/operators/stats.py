@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netquarry.cluster import cut
 
 def correlation(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
     """Pearson correlation of every pair of columns, by group: (x, y, r)."""
@@ -16,14 +17,23 @@ def correlation(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
 
 
 def kendall_top(scores: DataFrame, share: float = 0.1) -> DataFrame:
-    """Tau-b of scores(id, x, y) over the first int(share * n) + 1 rows by x."""
+    """Tau-b of scores(id, x, y) over the first int(share * n) + 1 rows by x; rows with nulls are no part of a pair.
+
+    Two ranks of y differ first at one bit. Rows that agree above it meet in one window, where those with the bit count those
+    without it on either side of their x: a row for each bit, not for each pair.
+    """
     n = scores.count()
-    top = scores.orderBy(F.desc("x"), "id").limit(int(share * n) + 1)
-    a, b = top.select(F.col("id").alias("i"), F.col("x").alias("xa"), F.col("y").alias("ya")), top
-    pair = a.join(b, F.col("i") < F.col("id"))  # the cut bounds this to the top rows
-    dx, dy = F.signum(F.col("xa") - F.col("x")), F.signum(F.col("ya") - F.col("y"))
-    s = pair.agg(F.sum(dx * dy).alias("c"), F.sum((dx != 0).cast("int")).alias("nx"), F.sum((dy != 0).cast("int")).alias("ny"))
-    return s.select((F.expr("coalesce(try_divide(c, sqrt(double(nx)) * sqrt(double(ny))), 0.0)")).alias("tau"))
+    top = cut(scores.orderBy(F.desc("x"), "id").limit(int(share * n) + 1).where("x IS NOT NULL AND y IS NOT NULL").select("x", "y"))
+    rank = top.groupBy("y").agg(F.count("*").alias("same")).select("y", "same", (F.row_number().over(Window.orderBy("y")) - 1).alias("r"))
+    levels = F.transform(F.sequence(F.lit(0), F.lit(max(1, n.bit_length()))), lambda b: F.struct(b.alias("level"), F.floor(F.col("r") / F.pow(F.lit(2.0), b + 1)).cast("long").alias("above"), (F.floor(F.col("r") / F.pow(F.lit(2.0), b)) % 2).cast("int").alias("bit")))
+    rows = top.join(rank, "y").select("x", F.explode(levels).alias("l")).groupBy("l.level", "l.above", "x").agg(F.sum(1 - F.col("l.bit")).alias("zeros"), F.sum("l.bit").alias("ones"))
+    group = Window.partitionBy("level", "above")
+    upto = F.sum("zeros").over(group.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    sides = rows.select("ones", (upto - F.col("zeros")).alias("less"), (F.sum("zeros").over(group) - upto).alias("more"))
+    pairs = lambda c: F.coalesce(F.sum(F.col(c) * (F.col(c) - 1)), F.lit(0)) / 2
+    ties = top.groupBy("x").agg(F.count("*").alias("same")).agg(pairs("same").alias("tx")).crossJoin(F.broadcast(rank.agg(pairs("same").alias("ty"), F.coalesce(F.sum("same"), F.lit(0)).alias("k"))))
+    s = sides.agg(F.coalesce(F.sum(F.col("ones") * (F.col("less") - F.col("more"))), F.lit(0)).alias("c")).crossJoin(F.broadcast(ties)).withColumn("every", F.expr("k * (k - 1) / 2"))
+    return s.select(F.expr("coalesce(try_divide(c, sqrt(every - tx) * sqrt(every - ty)), 0.0)").alias("tau"))
 
 
 def _ks_p(d: Column, na: Column, nb: Column) -> Column:

@@ -111,7 +111,22 @@ def mod_curve(s, d):
     return grouped.crawl_all(e, ["mod"], 1, tenth(e), seed=SEED).select(F.lit("r").alias("run"), "step", "nodes", "edges")
 
 
-add(mod_curve)
+#: Steps that the SQL of a budget of a tenth of the nodes is unrolled to: enough for 160 nodes.
+TENTH_STEPS = 16
+
+
+def tenth_sql(rule: str, columns: str, then: str = "", seed: int = SEED) -> str:
+    """``columns`` of the rule's trace t, cut at a tenth of the nodes."""
+    head, _, last = crawl_sql(rule, TENTH_STEPS, seed).rpartition("\nSELECT 'r' AS run")
+    return head + ",\ntr AS (SELECT 'r' AS run" + last + f")\nSELECT {columns} FROM tr t WHERE step <= (SELECT greatest(5, floor(count(*) * CAST(0.1 AS DOUBLE))) FROM deg){then}"
+
+
+add(mod_curve, tenth_sql("mod", "run, step, nodes, edges"))
+
+
+def grouped_sql(rule: str, trials: int = 2) -> str:
+    """The traces of a grouped crawler; a trial's seed is its number more."""
+    return "\nUNION ALL\n".join(f"SELECT * FROM ({tenth_sql(rule, f"'{rule}' AS algo, CAST({t} AS INTEGER) AS trial, step, CAST(step AS DOUBLE) AS cost, id AS node, CAST(obs AS INTEGER) AS obs, CAST(0 AS DOUBLE) AS score, nodes, edges", seed=SEED + t)})" for t in range(trials))
 
 
 def _grouped(algos, trials=2, **kw):
@@ -119,7 +134,7 @@ def _grouped(algos, trials=2, **kw):
 
 
 for _a in ("opic", "pagerank", "vmab", "exp_den", "dense_ex", "hybrid", "k_rank", "max_score", "degree_gap", "quartile", "unobserved", "percentile", "escalating"):
-    add(_grouped([_a]), None, f"crawl_{_a}")
+    add(_grouped([_a]), grouped_sql(_a) if _a in ("opic", "k_rank", "max_score", "degree_gap", "unobserved") else None, f"crawl_{_a}")
 add(_grouped(["exp_den_0.2", "exp_den_0.5", "exp_den_0.7"]), None, "threshold_sweep")
 add(_grouped(["rw_teleport", "rw_mixed", "rw_clustered"]), None, "walk_variants")
 add(_grouped(["mod"], limit=5, incomplete=True), None, "incomplete_mod")
@@ -309,7 +324,7 @@ def sir_sql(rounds: int = 5) -> str:
 
 
 add(lambda s, d: simulate.sir((e := graph(s, d)), prep.vertices(e).agg(F.min("id").alias("id")), 5), sir_sql(), "sir_rounds")
-add(lambda s, d: simulate.random_graph(s, 300, 0.02), f"SELECT CAST(a AS VARCHAR) AS src, CAST(b AS VARCHAR) AS dst FROM range(300) x(a), range(300) y(b) WHERE a < b AND {u_sql(1, 0, chr(97) + ' || ' + repr('-') + ' || b')} < 0.02", "er_edges")
+add(lambda s, d: simulate.random_graph(s, 300, 0.02), f"SELECT CAST(a AS VARCHAR) AS src, CAST(b AS VARCHAR) AS dst FROM (SELECT a, CAST(a + sum(1 + floor(ln(1 - {u_sql(1, 'k', 'a')}) / ln(CAST(0.98 AS DOUBLE)))) OVER (PARTITION BY a ORDER BY k) AS BIGINT) AS b FROM range(300) x(a), range(300) y(k)) WHERE b < 300", "er_edges")
 
 
 def rewire_cc(s, d):
