@@ -19,7 +19,7 @@ from netquarry.llm import _text
 
 VOCABULARY = "word_bpe_49k.json"
 #: Parts of chunks held by a worker before those go that were met in one slice only; bounds memory only.
-CACHED = 800_000
+CACHED = 400_000
 
 # The vocabulary's own pre-token rule for lower-case ASCII without white space.
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
