@@ -145,6 +145,14 @@ def test_statistics(spark):
     assert r.d == pytest.approx(0.8) and r.p == pytest.approx(stats.kolmogorov_p(0.8, 5, 5))
     t = spark.createDataFrame([("a", 3.0, 1.0), ("b", 2.0, 2.0), ("c", 1.0, 3.0)], "id string, x double, y double")
     assert stats.kendall_top(t, 1.0).first().tau == pytest.approx(-1.0)
+    rows = [(str(i), float(i * 7 % 5), None if i == 8 else float(i * i % 11)) for i in range(40)]
+    own = [(x, y) for _, x, y in rows if y is not None]
+    sign = lambda a, b: (a > b) - (a < b)
+    pairs = [(sign(a[0], b[0]), sign(a[1], b[1])) for i, a in enumerate(own) for b in own[:i]]
+    tau = sum(a * b for a, b in pairs) / math.sqrt(sum(a != 0 for a, _ in pairs) * sum(b != 0 for _, b in pairs))
+    many = spark.createDataFrame(rows, "id string, x double, y double")
+    assert stats.kendall_top(many, 1.0).first().tau == pytest.approx(tau) and stats.kendall_top(many.limit(0)).first().tau == 0
+    assert [simulate.random_graph(spark, 6, p).distinct().count() for p in (0.0, 1.0)] == [0, 15]
     p = as_map(stats.percentile_of(t.select("id", "x"), a), "id", "percentile")
     assert p["a"] == pytest.approx((3 + 4 + 1) * 10.0)
 
