@@ -219,6 +219,18 @@ def test_learning(spark):
     assert learn.quality(scored).first().auc > 0.95
 
 
+def test_nearest_vote_takes_any_number_of_training_rows(spark):
+    rng = random.Random(4)
+    value = lambda n, k: [(f"{k}{i}", float(rng.randrange(40)), float(rng.randrange(40)), rng.randrange(2)) for i in range(n)]
+    train, test = value(20_010, "r"), value(30, "t")
+    table = lambda rows: spark.createDataFrame(rows, "id string, deg double, cc double, border int")
+    for size in (20_000, 7_000):
+        got = as_map(learn.nearest_vote(table(train), table(test), "border", columns=("deg", "cc"), rows=size), "id", "label", "score")
+        for i, x, y, label in test:
+            near = sorted(((a - x) ** 2 + (b - y) ** 2, k, v) for k, a, b, v in train)[:5]
+            assert got[i] == (label, sum(v for _, _, v in near) / 5)
+
+
 def test_id_dictionary(spark):
     rows = spark.createDataFrame([(0, "x", "y"), (1, "y", "z"), (250_000, "w", "x")], "row_no long, src string, dst string")
     assert as_map(prep.id_dictionary(rows), "user", "id") == {"x": 0, "y": 1, "z": 2, "w": 3}
