@@ -219,6 +219,31 @@ def test_learning(spark):
     assert learn.quality(scored).first().auc > 0.95
 
 
+def test_eccentricities_hold_no_pairs_of_nodes(spark, monkeypatch):
+    rng = random.Random(6)
+    e = canonical(spark.createDataFrame([(str(rng.randrange(150)), str(rng.randrange(150))) for _ in range(260)], "src string, dst string"))
+    com = prep.vertices(e).select("id", (F.col("id").cast("int") % 2).alias("com"))
+    near = {}
+    for r in e.collect():
+        if int(r.src) % 2 == int(r.dst) % 2:
+            near.setdefault(r.src, set()).add(r.dst)
+            near.setdefault(r.dst, set()).add(r.src)
+    want = {}
+    for v in near:
+        away, edge = {v: 0}, [v]
+        for x in edge:
+            for n in near[x] - away.keys():
+                away[n] = away[x] + 1
+                edge.append(n)
+        want[v] = (int(v) % 2, max(away.values()), len(away))
+    written = []
+    monkeypatch.setattr(metrics, "cut", lambda df, own=metrics.cut: (out := own(df), written.append(out.count()))[0])
+    assert as_map(metrics.eccentricities(e, com), "id", "com", "ecc", "reached") == want
+    assert max(written) <= e.count()  # no table of reached pairs
+    monkeypatch.undo()
+    assert as_map(metrics.eccentricities(toy(spark, "bridge"), max_edges=2, pairs=20), "id", "ecc", "reached") == {"a": (3, 6), "b": (3, 6), "c": (2, 6), "d": (2, 6), "e": (3, 6), "f": (3, 6)}
+
+
 def test_nearest_vote_takes_any_number_of_training_rows(spark):
     rng = random.Random(4)
     value = lambda n, k: [(f"{k}{i}", float(rng.randrange(40)), float(rng.randrange(40)), rng.randrange(2)) for i in range(n)]
