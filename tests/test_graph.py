@@ -219,6 +219,21 @@ def test_learning(spark):
     assert learn.quality(scored).first().auc > 0.95
 
 
+def test_properties_pair_no_rows_with_marks(spark):
+    e = canonical(spark.createDataFrame([(str(i), str(j)) for i in range(12) for j in range(i) if (i * j) % 3], "src string, dst string"))
+    orders = spark.createDataFrame([(0, i, str(i)) for i in range(12)], "run int, step int, id string")
+    out = replay.properties(e, orders, 4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Join" in line and "<= mark" in line]
+    assert [r.step for r in out.orderBy("step").collect()] == [4, 8]  # the first query shows nothing
+
+
+def test_shares_are_those_of_written_decimals(spark):
+    scores = spark.range(10).selectExpr("cast(id AS string) AS id", "double(id) AS p")
+    assert access.likely(scores, 0.7).count() == 7
+    assert int(0.29 * 100) == 28 and access.likely(spark.range(100).selectExpr("cast(id AS string) AS id", "double(id) AS p"), 0.29).count() == 29
+
+
 def test_eccentricities_hold_no_pairs_of_nodes(spark, monkeypatch):
     rng = random.Random(6)
     e = canonical(spark.createDataFrame([(str(rng.randrange(150)), str(rng.randrange(150))) for _ in range(260)], "src string, dst string"))
