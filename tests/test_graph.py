@@ -219,6 +219,30 @@ def test_learning(spark):
     assert learn.quality(scored).first().auc > 0.95
 
 
+def test_crawls_look_at_few_open_nodes(monkeypatch):
+    """The greatest keys come from an index: the traces are those of a look at every open node."""
+    rng = random.Random(8)
+    pairs = {tuple(sorted((str(rng.randrange(3000)), str(rng.randrange(3000))))) for _ in range(9000)}
+    adj = {}
+    for a, b in sorted(p for p in pairs if p[0] != p[1]):
+        adj.setdefault(a, []).append(b)
+        adj.setdefault(b, []).append(a)
+    looks = [0]
+    monkeypatch.setattr(grouped, "u_py", lambda *k, own=u_py: (looks.__setitem__(0, looks[0] + 1), own(*k))[1])
+    for algo, key in (("mod", lambda c, n: c.obs(n)), ("med", lambda c, n: c.deg(n) - c.obs(n)), ("opic", lambda c, n: c.opic[n]), ("random", lambda c, n: 0)):
+        looks[0] = 0
+        got = grouped.run_one(adj, algo, 0, 200.0, 5)
+        assert looks[0] < 40 * 200 + 2 * len(adj)
+        c, v = grouped.Crawl(grouped.Access(adj), algo, 0, 5), got[0][4]
+        for _ in range(200):
+            c.query(v)
+            v = c.top(c.open, lambda n, key=key, c=c: key(c, n))
+        assert got == c.rows
+    looks[0] = 0
+    grouped.run_one(adj, "mod", 0, 200.0, 5, limit=5, incomplete=True)
+    assert looks[0] < 100 * 200 + 2 * len(adj)
+
+
 def test_properties_pair_no_rows_with_marks(spark):
     e = canonical(spark.createDataFrame([(str(i), str(j)) for i in range(12) for j in range(i) if (i * j) % 3], "src string, dst string"))
     orders = spark.createDataFrame([(0, i, str(i)) for i in range(12)], "run int, step int, id string")
