@@ -382,3 +382,58 @@ def test_trajectories_by_hand(spark):
     assert (rows[0].nodes, rows[0].closed, rows[0].mean_deg, rows[0].mean_cc, rows[0].mean_deg_c) == (4, 1, 1.5, 0.0, 3.0)
     assert (rows[1].nodes, rows[1].closed, rows[1].mean_deg, rows[1].mean_deg_c) == (4, 2, 2.0, 2.5)
     assert math.isclose(rows[1].mean_cc, (1 + 1 + 1 / 3 + 0) / 4) and 0 < rows[1].d <= 1 and 0 <= rows[1].p <= 1
+
+
+def _tangle(n, links, seed):
+    """A random graph with a dense corner and a tail, so that keys tie, differ and reach far."""
+    rng = random.Random(seed)
+    adj = {}
+    for a, b in {tuple(sorted((str(rng.randrange(n)), str(rng.randrange(n) if rng.random() < 0.7 else rng.randrange(40))))) for _ in range(links)} | {(f"t{k}", f"t{k + 1}") for k in range(8)} | {("0", "t0")}:
+        if a != b:
+            adj.setdefault(a, []).append(b)
+            adj.setdefault(b, []).append(a)
+    return {k: sorted(v) for k, v in adj.items()}
+
+
+def _plain(c):
+    """The choices of expansion, eccentric expansion and densification by a look at every open node."""
+    ranked = sorted(c.open, key=lambda n: (-c.obs(n), n))
+    cand = ranked[: int(0.2 * len(ranked))] or ranked
+    lo, hi = min(map(c.obs, cand)), max(map(c.obs, cand))
+    dense = c.top(cand, lambda n: ((c.obs(n) - lo) / (hi - lo) if hi > lo else c.obs(n)) * (1 - c.cc(n))) if len(cand) > 10 else cand[0]
+    return c.top(ranked[int(0.2 * len(ranked)) :]), c.top(grouped.farthest(c)), dense
+
+
+def test_arrays_choose_what_plain_rules_choose():
+    for n, links, seed in ((700, 1500, 1), (300, 3000, 2), (40, 60, 3)):
+        adj = _tangle(n, links, seed)
+        for trace in (grouped.run_one(adj, "dense_ex", 0, 60.0, seed), grouped.run_one(adj, "bfs", 0, 60.0, seed)):
+            c = grouped.Crawl(grouped.Access(adj), "x", 0, seed)
+            for k, row in enumerate(trace[:-1]):
+                c.query(row[4])
+                if k >= 5 and k % 6 == 0 and c.open:
+                    t = c.table(eccentric=True)
+                    assert (t.expand(), t.outermost(), t.densify()) == _plain(c)
+
+
+def test_eccentric_expansion_searches_from_few_nodes(monkeypatch):
+    from netquarry.operators import arrays
+
+    looks = [0]
+    for name in ("_eccentricity", "_many"):
+        monkeypatch.setattr(arrays.Arrays, name, lambda *k, own=getattr(arrays.Arrays, name): (looks.__setitem__(0, looks[0] + 1), own(*k))[1])
+    monkeypatch.setattr(grouped, "distances", None)  # searches in plain Python
+    for algo in ("dense_ex", "dense_ex_bfs", "dense_ex_smooth"):
+        looks[0] = 0
+        assert len(grouped.run_one(_tangle(3000, 12000, 4), algo, 0, 200.0, 5)) == 200
+        assert 200 <= looks[0] < 4 * 200
+
+
+def test_hashes_of_many_nodes_are_the_draws():
+    from netquarry.operators.arrays import Hashes
+
+    import numpy as np
+
+    ids = sorted({str(k * k % 99991) for k in range(3000)} | {"", "é", "x" * 30})
+    for seed, step in ((1, 0), (12, 34567), (1 << 40, 10**12)):
+        assert [x / 4294967296 for x in Hashes(ids)(seed, step, np.arange(len(ids))).tolist()] == [u_py(seed, step, v) for v in ids]
