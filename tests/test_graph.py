@@ -437,3 +437,14 @@ def test_hashes_of_many_nodes_are_the_draws():
     ids = sorted({str(k * k % 99991) for k in range(3000)} | {"", "é", "x" * 30})
     for seed, step in ((1, 0), (12, 34567), (1 << 40, 10**12)):
         assert [x / 4294967296 for x in Hashes(ids)(seed, step, np.arange(len(ids))).tolist()] == [u_py(seed, step, v) for v in ids]
+
+
+def test_quarters_by_score_and_hash_are_those_of_a_whole_order():
+    adj = _tangle(700, 3000, 7)
+    c = grouped.Crawl(grouped.Access(adj), "x", 0, 7)
+    for k, row in enumerate(grouped.run_one(adj, "mod", 0, 90.0, 7)):
+        c.query(row[4])
+        if k % 4 == 0 and c.open:
+            ranked = sorted(c.open, key=lambda n: (c.obs(n) * (1 - c.cc(n)), c.u(n), n))
+            part = [ranked[len(ranked) * i // 4 : len(ranked) * (i + 1) // 4] for i in range(4)]
+            assert [c.table().quarter(i) for i in range(4) if part[i]] == [c.top(own) for own in part if own]
