@@ -448,3 +448,20 @@ def test_quarters_by_score_and_hash_are_those_of_a_whole_order():
             ranked = sorted(c.open, key=lambda n: (c.obs(n) * (1 - c.cc(n)), c.u(n), n))
             part = [ranked[len(ranked) * i // 4 : len(ranked) * (i + 1) // 4] for i in range(4)]
             assert [c.table().quarter(i) for i in range(4) if part[i]] == [c.top(own) for own in part if own]
+
+
+def test_oracle_choices_are_those_of_a_look_at_every_neighbour():
+    adj = _tangle(500, 1500, 9)
+    com = {n: len(n) % 3 for n in adj}
+    for trace in (grouped.run_one(adj, "oracle", 0, 60.0, 9, com=com), grouped.run_one(adj, "bfs", 0, 60.0, 9)):
+        c, beside = grouped.Crawl(grouped.Access(adj), "x", 0, 9), {}
+        for row in trace[:-1]:
+            c.query(row[4])
+            seen, ranked = {*c.closed, *c.open}, sorted(c.open, key=lambda n: (-c.obs(n), n))
+            if not ranked:
+                break
+            assert c.table().unseen() == c.top(ranked[: int(0.2 * len(ranked))] or ranked, lambda n: sum(w not in seen for w in adj[n]))
+            for k in range(4):
+                own = {n for n in adj if com[n] == k}
+                near = {n for n in c.open if own & set(adj[n])}
+                assert c.table().towards(own, beside, k) == c.top(near or c.open, lambda n: sum(w in own and w not in seen for w in adj[n]))
