@@ -465,3 +465,16 @@ def test_oracle_choices_are_those_of_a_look_at_every_neighbour():
                 own = {n for n in adj if com[n] == k}
                 near = {n for n in c.open if own & set(adj[n])}
                 assert c.table().towards(own, beside, k) == c.top(near or c.open, lambda n: sum(w in own and w not in seen for w in adj[n]))
+
+
+def test_pagerank_crawl_needs_no_plain_sums(monkeypatch):
+    adj = _tangle(400, 1200, 8)
+    got = grouped.run_one(adj, "pagerank", 0, 40.0, 8)
+    c, v = grouped.Crawl(grouped.Access(adj), "pagerank", 0, 8), got[0][4]
+    for _ in range(40):
+        c.query(v)
+        rank = grouped.sample_pagerank(c)
+        v = c.top(c.open, lambda n, rank=rank: rank.get(n, 0.0))
+    assert got == c.rows
+    monkeypatch.setattr(grouped, "sample_pagerank", None)
+    assert grouped.run_one(adj, "pagerank", 0, 40.0, 8) == got
