@@ -478,3 +478,20 @@ def test_pagerank_crawl_needs_no_plain_sums(monkeypatch):
     assert got == c.rows
     monkeypatch.setattr(grouped, "sample_pagerank", None)
     assert grouped.run_one(adj, "pagerank", 0, 40.0, 8) == got
+
+
+def test_learned_and_random_expansion_look_at_no_open_node_in_python(monkeypatch):
+    adj = _tangle(3000, 12000, 10)
+    looks = [0]
+    monkeypatch.setattr(grouped.Crawl, "cc", lambda c, v, own=grouped.Crawl.cc: (looks.__setitem__(0, looks[0] + 1), own(c, v))[1])
+    monkeypatch.setattr(grouped.Crawl, "obs", lambda c, v, own=grouped.Crawl.obs: (looks.__setitem__(0, looks[0] + 1), own(c, v))[1])
+    for algo in ("learned", "random_exp"):
+        looks[0] = 0
+        assert len(grouped.run_one(adj, algo, 0, 120.0, 10)) == 120
+        assert looks[0] < 1000 * 120
+    c = grouped.Crawl(grouped.Access(adj), "x", 0, 10)
+    for k, row in enumerate(grouped.run_one(adj, "mod", 0, 60.0, 10)):
+        c.query(row[4])
+        if k % 10 == 9:
+            value = lambda n: 0.3 + 1.5 * math.log1p(c.obs(n)) - 2.0 * c.cc(n) + 0.25 * math.log1p(sum(map(c.obs, c.near[n])) / c.obs(n))
+            assert c.table().likeliest(__import__("numpy").array([0.3, 1.5, -2.0, 0.25]), value) == c.top(c.open, value)
