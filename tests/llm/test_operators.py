@@ -442,6 +442,25 @@ def test_lm_learns_from_all_training_rows(spark):
     assert any(not np.allclose(other.p[k], still.p[k]) for k in other.p) and all(np.isfinite(v).all() for v in other.p.values())
 
 
+def test_lm_trains_on_every_window_of_every_text():
+    from types import SimpleNamespace
+
+    rng = random.Random(15)
+    texts = [prose(rng, 3000, 3100), "", prose(rng, 40, 60)]
+
+    def trained(own):
+        coded = list(lm_score._encoded(None)([pa.record_batch([pa.array(range(len(own))), pa.array([True] * len(own)), pa.array(own)], names=["doc_id", "trains", "text"])]))
+        ends = [len(x) // 2 + 1 for b in coded for x in b.column(3).to_pylist()]
+        (got,) = lm_score._further(SimpleNamespace(value=lm_score.Attention()))(b.select(["ids", "sizes"]) for b in coded)
+        return ends, got.column("n")[0].as_py(), got.column("v").to_numpy()
+
+    ends, n, first = trained(texts)
+    assert ends[0] > 32 * lm_score.WINDOW and n == sum(max(1, -(-k // lm_score.WINDOW)) for k in ends)
+    words = texts[0].split()
+    k = len(words) // 3
+    assert not np.array_equal(first, trained([" ".join([*words[:k], words[k + 1], words[k], *words[k + 2 :]]), *texts[1:]])[2])
+
+
 # --- 7: HTML ---------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var x="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>
