@@ -495,3 +495,13 @@ def test_learned_and_random_expansion_look_at_no_open_node_in_python(monkeypatch
         if k % 10 == 9:
             value = lambda n: 0.3 + 1.5 * math.log1p(c.obs(n)) - 2.0 * c.cc(n) + 0.25 * math.log1p(sum(map(c.obs, c.near[n])) / c.obs(n))
             assert c.table().likeliest(__import__("numpy").array([0.3, 1.5, -2.0, 0.25]), value) == c.top(c.open, value)
+
+
+def test_each_grouped_run_is_a_task_of_its_own(spark):
+    e = canonical(spark.range(40).selectExpr("cast(id AS string) src", "cast((id * 7 + 1) % 40 AS string) dst"))
+    algos = ["exp_den_0.2", "exp_den_0.5", "exp_den_0.7"]
+    rows = grouped.crawl_all(e, algos, 2, 12.0).withColumn("task", F.spark_partition_id()).collect()
+    task = {(r.algo, r.trial): r.task for r in rows}
+    assert sorted(task) == [(a, t) for a in algos for t in range(2)] and len(set(task.values())) == 6
+    adj = grouped.adjacency_of(e)
+    assert [tuple(r)[:9] for r in sorted(rows, key=lambda r: (r.algo, r.trial, r.step))] == [r for a in algos for t in range(2) for r in grouped.run_one(adj, a, t, 12.0, 1 + t)]
