@@ -688,3 +688,29 @@ def test_pipeline_stages(spark, tmp_path):
     assert 200 not in dedup and 201 not in dedup and len(dedup) == len(quality_) - 2
     assert 3 not in leaks or len(leaks[3].text.split()) == 30
     assert set(packed) == set(private) and corpus_pipeline.run(spark, str(tmp_path)).agg(F.countDistinct("doc_id")).first()[0] == len(private)
+
+
+def test_lm_mixture_holds_a_bounded_part_of_a_large_batch():
+    from types import SimpleNamespace
+
+    texts = [f"{'some words of text and more ' * 400}{i}" for i in range(900)]
+    coded = pa.Table.from_batches(lm_score._encoded(None)([pa.record_batch([pa.array(range(900)), pa.array([True] * 900), pa.array(texts)], names=["doc_id", "trains", "text"])])).combine_chunks().to_batches()
+    sizes = []
+
+    def mixture(columns, rounds=30):
+        sizes.append(sum(len(t) for c in columns for t in c[0].to_pylist()))
+        return np.array([0.25] * 4), 1
+
+    parts = list(lm_score._mixed(SimpleNamespace(value=SimpleNamespace(mixture=mixture)))(b.select(["text", "ids", "sizes"]) for b in coded))
+    assert sum(sizes) == sum(map(len, texts)) and max(sizes) < 3 << 20 and len(parts) == len(sizes)
+
+
+def test_lm_lets_go_of_the_tokenizer_where_nothing_is_encoded():
+    from types import SimpleNamespace
+
+    from netquarry.llm._tokens import Subwords
+
+    coded = list(lm_score._encoded(None)([pa.record_batch([pa.array([1]), pa.array([True]), pa.array(["a few words"])], names=["doc_id", "trains", "text"])]))
+    assert Subwords._by_path
+    list(lm_score._further(SimpleNamespace(value=lm_score.Attention()))(b.select(["ids", "sizes"]) for b in coded))
+    assert not Subwords._by_path
