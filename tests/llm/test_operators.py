@@ -714,3 +714,70 @@ def test_lm_lets_go_of_the_tokenizer_where_nothing_is_encoded():
     assert Subwords._by_path
     list(lm_score._further(SimpleNamespace(value=lm_score.Attention()))(b.select(["ids", "sizes"]) for b in coded))
     assert not Subwords._by_path
+
+
+def test_lm_gradients_of_parts_and_of_a_used_room_are_those_of_single_windows():
+    rng = np.random.default_rng(21)
+    model = lm_score.Attention()
+    model.p = {k: w.astype(np.float64) for k, w in model.p.items()}
+    model.p["q"] = model.p["q"] * 12  # weights of attention that vanish
+    n, width = 2 * lm_score._PART + 5, 20
+    x, text = rng.integers(0, 300, (n, width)), np.sort(rng.integers(0, 3, (n, width)), axis=1)
+    text[:4, 12:] = -1
+    target, mask = rng.integers(0, lm_score.CLASSES, (n, width)), rng.random((n, width)) < 0.7
+    loss, want = 0.0, {k: np.zeros_like(w) for k, w in model.p.items()}
+    for i in range(n):
+        one, d = model.gradients(*(m[i : i + 1] for m in (x, text, target, mask)))
+        share = max(1, mask[i].sum()) / mask.sum()
+        loss += one * share
+        for k in want:
+            want[k] += d[k] * share
+    room = lm_score._Room(model.p, n + 3, width)
+    for _ in range(2):
+        got, d = model.gradients(x, text, target, mask, room)
+        assert got == pytest.approx(loss) and all(np.allclose(d[k], want[k], atol=1e-9) for k in want)
+        model.gradients(x[:3], text[:3], target[:3], mask[:3], room)
+
+
+def test_lm_fit_leaves_shared_weights_alone():
+    from copy import copy
+
+    model, rng = noisy(22)
+    other, before = copy(model), {k: w.copy() for k, w in model.p.items()}
+    other.p = dict(other.p)
+    other.fit(rng.integers(0, 300, (70, lm_score.WINDOW + 1)), np.zeros((70, lm_score.WINDOW + 1), dtype=np.int64), epochs=1)
+    assert all(np.array_equal(model.p[k], before[k]) and not np.array_equal(other.p[k], before[k]) for k in before)
+
+
+def test_lm_scores_take_the_place_of_the_ids_part_by_part(spark):
+    from pathlib import Path
+
+    from netquarry.cluster import cut, discard, replaced
+
+    table, seen = cut(spark.range(400).repartition(8)), []
+    folder = Path(table._nq_path.removeprefix("file://"))
+
+    def step(part):
+        seen.append(len(list(folder.glob("part-*"))))
+        return part.selectExpr("id + 1 as id")
+
+    out = replaced(table, step)
+    assert seen == [8, 6, 4, 2] and not folder.exists()
+    assert sorted(r.id for t in out for r in t.collect()) == list(range(1, 401))
+    discard(*out)
+    none = replaced(cut(spark.range(0)), lambda part: part)
+    assert sum(t.count() for t in none) == 0
+
+
+def test_lm_passes_after_the_model_read_no_text():
+    from types import SimpleNamespace
+
+    model, _ = noisy(23)
+    texts = ["Rare rare common common common", "", "common " * 50]
+    coded = list(lm_score._encoded(None)([pa.record_batch([pa.array(range(3)), pa.array([True] * 3), pa.array(texts)], names=["doc_id", "trains", "text"])]))
+    scorer = lm_score.Scorer(model, np.array([_text.hash_word(b"common")], dtype=np.uint64), np.array([53]), 60, 3, np.ones(lm_score.VOCABULARY), Subwords.shared().finals())
+    (got,) = lm_score._predicted(SimpleNamespace(value=scorer))(coded)
+    assert "text" not in got.schema.names
+    p = scorer.parts(*got.columns[2:])
+    assert p["count"].tolist() == [-1, -1] + [53] * 53 and p["rare"].tolist() == [_text.hash_word(b"rare")] * 2 and p["bounds"].tolist() == [0, 5, 5, 55]
+    assert np.allclose(p["pointer"], [0, 1, 0, 1 / 3, 2 / 4, *(i / max(i, 1) for i in range(50))])
